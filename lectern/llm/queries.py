@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash, token_count, toxicity
+from . import bpe, html_extract, mixing, quality, sharding, simhash, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare_edited(_documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op5_sharding, op6_quality_rules, op7_bpe, op8_mixing, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op3_html_extraction, op4_simhash, op5_sharding, op6_quality_rules, op7_bpe, op8_mixing, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
