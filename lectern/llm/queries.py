@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, mixing, quality, sharding, simhash, substring_dedup, token_count, toxicity
+from . import bpe, html_extract, jaccard_join, mixing, quality, sharding, simhash, substring_dedup, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_documents(spark, sf_dir), width=3, num=90, den=100)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_chunks", "repeat_words", "removed_words", "removed_chars", "first_ids", "text")
@@ -59,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_html_extraction, op4_simhash, op5_sharding, op6_quality_rules, op7_bpe, op8_mixing, op9_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_substring_dedup, op3_html_extraction, op4_simhash, op5_sharding, op6_quality_rules, op7_bpe, op8_mixing, op9_token_counts, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,6 +33,9 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lectern_path = path
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()  # shuffle files of the finished job go now, not when the driver's heap is full
         return out
 
     def drop(self, *tables: DataFrame) -> None:
