@@ -3,11 +3,16 @@
 A document is the set of its word shingles. Two sets of a and b elements with Jaccard similarity t or more
 differ in at most d = (1 - t) / (1 + t) * (a + b) elements. A parity sketch toggles one bit for each element,
 so two sketches differ in no more bits than the sets in elements: cut into more than d blocks, they agree in
-some block. Sizes are dealt to bands; in a band every set is sketched with the same number of 64-bit blocks,
-and sets just above a band are sketched for it as well. Equal blocks of a band make candidates.
+some block. Sizes are dealt to bands; in a band every set is sketched with the same number of blocks, and
+sets just above a band are sketched for it as well. Equal blocks of a band make candidates. A block is far
+wider than its few elements (2**64 bits: an element toggles the bit of its own hash), so it is kept as the
+XOR of 64-bit codes of the bits that are set: equal blocks have equal XORs, and with only 64 bits a block of
+one element would agree with every 64th other.
 
 A block that is 0 says little. A set with more than d blocks other than 0 is found by those alone; only
-sets with fewer add their zero blocks, and find each other by them.
+sets with fewer add their zero blocks, and find each other by them. Nor do shingles of lines that very many
+documents share: a first pass counts shingles in 2**22 slots, and those in the fullest slots (2**18 at most,
+a table of fixed size) are left out of the sketches, unless a set then has too few blocks left.
 
 Groups of equal blocks are not paired up: each member is compared with one hub (the smallest id), first in
 its batch, so that of a hot block only one row a batch is shuffled. Links found that way mostly join a group
@@ -30,6 +35,8 @@ from .scratch import Scratch
 from .tokens import mix, word_hashes
 
 BATCH = 2000
+SLOT_BITS = 22
+COMMON = 1 << 18
 FIRST_PIVOTS = 16
 
 
@@ -63,7 +70,7 @@ class Sets:
 class Bands:
     """Bands of set sizes for a similarity of num / den: edges, and for each band d and the number of blocks."""
 
-    def __init__(self, num: int, den: int, largest: int, spread: float = 2.5):
+    def __init__(self, num: int, den: int, largest: int, spread: float = 2.0):
         ratio = (den / num) ** spread
         self.edges = [1]
         while self.edges[-1] <= largest:
@@ -99,28 +106,48 @@ class Bands:
             below += 1
 
 
-def block_keys(sets: Sets, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key): the hash of (band, block, value) for each block by which a set may be found."""
-    at, band = bands.roles(sets.sizes)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    flat = np.concatenate(sets.runs)
-    begins = np.cumsum(sets.sizes) - sets.sizes
-    n = sets.sizes[at]
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _sketch(runs: list[np.ndarray], at: np.ndarray, band: np.ndarray, bands: Bands, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the roles (at, band): owner role and key of each block, whether its value is other than 0; and which roles have too few such blocks."""
+    sizes = np.array([len(r) for r in runs], np.int64)
+    flat = np.concatenate(runs)
+    begins = np.cumsum(sizes) - sizes
+    n = sizes[at]
     role = np.repeat(np.arange(len(at)), n)
     h = flat[np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     blocks = np.array(bands.blocks)[band]
     offset = np.cumsum(blocks) - blocks
     cell = offset[role] + ((h >> np.uint64(32)) * blocks[role].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     value = np.zeros(int(blocks.sum()), np.uint64)
-    np.bitwise_xor.at(value, cell, np.uint64(1) << (h & np.uint64(63)))
+    np.bitwise_xor.at(value, cell, mix(h))
     owner = np.repeat(np.arange(len(at)), blocks)
     place = (band[owner].astype(np.uint64) << np.uint64(40)) | (np.arange(len(value)) - offset[owner]).astype(np.uint64)
     full = value != 0
     weak = np.add.reduceat(full, offset, dtype=np.int64) < np.array(bands.d)[band] + 1
-    keep = full | weak[owner]
-    key = mix(mix(place + np.uint64(1)) ^ value)
-    return at[owner[keep]], key[keep]
+    return owner, mix(mix(place * np.uint64(2) + np.uint64(space + 1)) ^ value), full, weak
+
+
+def block_keys(sets: Sets, bands: Bands, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key): the hash of (band, block, value) for each block by which a set may be found.
+
+    Shingles in common slots are left out first, which cannot add a difference. Sets that have too few blocks
+    other than 0 then are sketched whole as well, zero blocks included if those are too few again.
+    """
+    at, band = bands.roles(sets.sizes)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    runs = sets.runs if common is None else [r[~common[_slot(r)]] for r in sets.runs]
+    owner, key, full, weak = _sketch(runs, at, band, bands, 0)
+    found = [(at[owner[full]], key[full])]
+    if weak.any():
+        at, band = at[weak], band[weak]
+        owner, key, full, weak = _sketch(sets.runs, at, band, bands, 1)
+        keep = full | weak[owner]
+        found.append((at[owner[keep]], key[keep]))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 def _star(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +163,28 @@ def _star(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return k[first], hub, pairs[:, 0], pairs[:, 1]
 
 
-def _rows(df: DataFrame, key: str, text: str, width: int, num: int, den: int, star: bool) -> DataFrame:
+def common_slots(df: DataFrame, text: str, width: int) -> np.ndarray:
+    """Which slots hold shingles of very many documents: at most COMMON slots, whatever the data.
+
+    A task reports the slots that are met at least 8 times and 4 times the mean more in its documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                for r in Sets(batch.slice(at, BATCH).column(0).to_pylist(), width).runs:
+                    counts[_slot(r)] += 1
+        many = np.flatnonzero(counts >= 8 + 4 * counts.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(many.astype(np.int32)), pa.array(counts[many].astype(np.int64))], ["slot", "n"])
+
+    rows = df.select(text).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(COMMON).select("slot").toArrow()
+    common = np.zeros(1 << SLOT_BITS, bool)
+    common[np.asarray(rows.column(0))] = True
+    return common
+
+
+def _rows(df: DataFrame, key: str, text: str, width: int, num: int, den: int, common, star: bool) -> DataFrame:
     """(key, a, b): a found by this block key; star: only the hub of a batch is, and b is given for pairs in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +192,7 @@ def _rows(df: DataFrame, key: str, text: str, width: int, num: int, den: int, st
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 sets = Sets(part.column(1).to_pylist(), width)
-                own, keys = block_keys(sets, Bands(num, den, int(sets.sizes.max(initial=1))))
+                own, keys = block_keys(sets, Bands(num, den, int(sets.sizes.max(initial=1))), np.unpackbits(common.value).astype(bool))
                 ids = np.asarray(part.column(0))[own].astype(np.int64)
                 if star:
                     keys, ids, a, b = _star(ids, keys)
@@ -200,7 +248,8 @@ def linked_components(df: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     scratch = Scratch(df.sparkSession, "jaccard")
     df = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    rows = _rows(df, "id", "t", width, num, den, star=True)
+    common = df.sparkSession.sparkContext.broadcast(np.packbits(common_slots(df, "t", width)))
+    rows = _rows(df, "id", "t", width, num, den, common, star=True)
     hub = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("key"))
     pairs = rows.withColumn("hub", hub).select(F.when(F.col("b").isNull(), F.col("hub")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b"))
     pairs = scratch.table(pairs.filter("a <> b").distinct())
@@ -215,7 +264,7 @@ def linked_components(df: DataFrame, key: str = "doc_id", text: str = "text", wi
     near = components(pairs, scratch).select(F.col("node").alias("n"), F.col("comp").alias("near"))
     open_ = done.filter("not linked").select(F.col("a").alias("n")).join(near, "n").select(F.col("near").alias("o")).distinct()
     again = near.join(open_, F.col("near") == F.col("o"), "left_semi").select(F.col("n").alias("i"))
-    keyed = _rows(texts.join(again, F.col("id") == F.col("i"), "left_semi"), "id", "t", width, num, den, star=False).select("key", F.col("a").alias("node"))
+    keyed = _rows(texts.join(again, F.col("id") == F.col("i"), "left_semi"), "id", "t", width, num, den, common, star=False).select("key", F.col("a").alias("node"))
     sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 2")
     keyed = scratch.table(keyed.join(sizes, F.col("key") == F.col("k")).select("key", "node", "size"))
     degree = keyed.groupBy(F.col("node").alias("n")).agg(F.count(F.lit(1)).alias("degree"))
