@@ -1 +1,37 @@
-"""Column builders and small scalar functions."""
+"""Small pure functions: fractional ranks, slugs, natural sort keys."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+#: Fixed value: digits of ranks in ASCII order, so that ranks compare byte by byte.
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def rank_between(low: str | None, high: str | None) -> str:
+    """A rank that sorts strictly between two ranks; None is an open end. It never ends in the lowest digit."""
+    if low is not None and high is not None and low >= high:
+        raise ValueError("the lower rank must sort first")
+    made = ""
+    place = 0
+    bounded = high is not None
+    while True:
+        below = DIGITS.index(low[place]) if low is not None and place < len(low) else -1
+        above = DIGITS.index(high[place]) if bounded and place < len(high) else len(DIGITS)
+        middle = (below + above) // 2
+        if above - below > 1 and middle > 0:
+            return made + DIGITS[middle]
+        made += DIGITS[max(below, 0)]
+        place += 1
+
+
+def slug(text: str | None, fallback: str = "untitled", longest: int = 60) -> str:
+    """ASCII letters and digits joined by hyphens."""
+    plain = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
+    return re.sub(r"[^a-z0-9]+", "-", plain).strip("-")[:longest].strip("-") or fallback
+
+
+def natural_key(text: str) -> tuple:
+    """Sorts '2' before '10', without case."""
+    return tuple((0, int(p), "") if p.isdigit() else (1, 0, p) for p in re.findall(r"\d+|\D+", text.lower()))

@@ -1 +1 @@
-"""DataFrame operators: facets, library, pairs, alignment, progress, jobs."""
+"""DataFrame operators that no single SQL expression covers."""
