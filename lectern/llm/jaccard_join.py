@@ -2,27 +2,29 @@
 
 A document is the set of its word shingles. Two sets of a and b elements with Jaccard similarity t or more
 differ in at most d = (1 - t) / (1 + t) * (a + b) elements. A parity sketch toggles one bit for each element,
-so two sketches differ in no more bits than the sets in elements: cut into more than d blocks, they agree in
-some block. Sizes are dealt to bands; in a band every set is sketched with the same number of blocks, and
-sets just above a band are sketched for it as well. Equal blocks of a band make candidates. A block is far
-wider than its few elements (2**64 bits: an element toggles the bit of its own hash), so it is kept as the
-XOR of 64-bit codes of the bits that are set: equal blocks have equal XORs, and with only 64 bits a block of
-one element would agree with every 64th other.
-
-A block that is 0 says little. A set with more than d blocks other than 0 is found by those alone; only
-sets with fewer add their zero blocks, and find each other by them. Nor do shingles of lines that very many
-documents share: a first pass counts shingles in 2**22 slots, and those in the fullest slots (2**18 at most,
-a table of fixed size) are left out of the sketches, unless a set then has too few blocks left.
-
-Groups of equal blocks are not paired up: each member is compared with one hub (the smallest id), first in
-its batch, so that of a hot block only one row a batch is shuffled. Links found that way mostly join a group
-into one component. Where they don't, the rest of the group's pairs across components is gone through,
-members that share most blocks first, until no pair that could link is left.
+so two sketches differ in no more bits than the sets in elements.
+
+Candidates come by pigeonhole. The wide sketch has a bit for each of 2**64 hashes, and each set bit is a
+block of its own; of any d + 1 blocks of one sketch, one is met in the other. Sizes are dealt to bands, and a
+set is found in its band, and in those below that it may reach, by its first d + 1 blocks in one order for
+all: the first block that two sets share stands at place i of one and j of the other, and i + j <= d, for the
+blocks before it are differences. Blocks of shingles that few documents have come first; a pass before counts
+shingles in 2**22 slots, of which the 2**18 fullest at most are known by their size (a table of fixed size).
+So texts around one passage, or hundreds of edits of one text, meet only if what sets them apart allows it.
+(Blocks of several elements each, as wide as pigeonhole alone needs, made every pair of such edits a
+candidate; README.md has the figures.)
+
+The narrow sketch is the wide one folded to 1,024 bits by XOR. Candidates whose narrow sketches differ in
+more than d bits go; the rest are verified on whole sets.
+
+Groups of equal blocks are not paired up: each member is compared with one hub (the first place, then the
+smallest id), first in its batch, so that of a hot block few rows a batch are shuffled. Links found that way
+mostly join a group into one component. Where they don't, the rest of the group's pairs across components is
+gone through until no pair that could link is left. Documents with equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ from .tokens import mix, word_hashes
 BATCH = 2000
 SLOT_BITS = 22
 COMMON = 1 << 18
+NARROW = 1024
 FIRST_PIVOTS = 16
 
 
@@ -68,27 +71,15 @@ class Sets:
 
 
 class Bands:
-    """Bands of set sizes for a similarity of num / den: edges, and for each band d and the number of blocks."""
+    """Bands of set sizes for a similarity of num / den: edges, and for each band the largest size that it meets and d."""
 
-    def __init__(self, num: int, den: int, largest: int, spread: float = 2.0):
+    def __init__(self, num: int, den: int, largest: int, spread: float = 1.5):
         ratio = (den / num) ** spread
         self.edges = [1]
         while self.edges[-1] <= largest:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * ratio)))
-        self.tops, self.d, self.blocks = [], [], []
-        for low, up in zip(self.edges, self.edges[1:], strict=False):
-            a = up - 1
-            top = a * den // num
-            d = (den - num) * (a + top) // (den + num)
-            blocks = d + 1
-            while blocks < 4 * (d + 1):  # until a set of the least size most likely has more than d blocks other than 0
-                empty = math.exp(-low / blocks)
-                if blocks * (1 - empty) - 2.5 * math.sqrt(blocks * empty * (1 - empty)) >= d + 1:
-                    break
-                blocks += max(1, blocks // 50)
-            self.tops.append(top)
-            self.d.append(d)
-            self.blocks.append(blocks)
+        self.tops = [(up - 1) * den // num for up in self.edges[1:]]
+        self.d = [(den - num) * (up - 1 + top) // (den + num) for up, top in zip(self.edges[1:], self.tops, strict=True)]
 
     def roles(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(set, band) for each band in which a set is sketched."""
@@ -110,61 +101,51 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _sketch(runs: list[np.ndarray], at: np.ndarray, band: np.ndarray, bands: Bands, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the roles (at, band): owner role and key of each block, whether its value is other than 0; and which roles have too few such blocks."""
-    sizes = np.array([len(r) for r in runs], np.int64)
-    flat = np.concatenate(runs)
-    begins = np.cumsum(sizes) - sizes
-    n = sizes[at]
-    role = np.repeat(np.arange(len(at)), n)
-    h = flat[np.repeat(begins[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    blocks = np.array(bands.blocks)[band]
-    offset = np.cumsum(blocks) - blocks
-    cell = offset[role] + ((h >> np.uint64(32)) * blocks[role].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    value = np.zeros(int(blocks.sum()), np.uint64)
-    np.bitwise_xor.at(value, cell, mix(h))
-    owner = np.repeat(np.arange(len(at)), blocks)
-    place = (band[owner].astype(np.uint64) << np.uint64(40)) | (np.arange(len(value)) - offset[owner]).astype(np.uint64)
-    full = value != 0
-    weak = np.add.reduceat(full, offset, dtype=np.int64) < np.array(bands.d)[band] + 1
-    return owner, mix(mix(place * np.uint64(2) + np.uint64(space + 1)) ^ value), full, weak
-
-
-def block_keys(sets: Sets, bands: Bands, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key): the hash of (band, block, value) for each block by which a set may be found.
-
-    Shingles in common slots are left out first, which cannot add a difference. Sets that have too few blocks
-    other than 0 then are sketched whole as well, zero blocks included if those are too few again.
+def block_keys(sets: Sets, bands: Bands, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, key, place, d) for each block by which a set is to be found; key: the hash of band and block.
+
+    levels: by slot, 0 for shingles of few documents and more for those of more.
     """
     at, band = bands.roles(sets.sizes)
     if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    runs = sets.runs if common is None else [r[~common[_slot(r)]] for r in sets.runs]
-    owner, key, full, weak = _sketch(runs, at, band, bands, 0)
-    found = [(at[owner[full]], key[full])]
-    if weak.any():
-        at, band = at[weak], band[weak]
-        owner, key, full, weak = _sketch(sets.runs, at, band, bands, 1)
-        keep = full | weak[owner]
-        found.append((at[owner[keep]], key[keep]))
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def _star(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys with the smallest id of each, and the distinct (smallest id, other id) of all keys."""
-    order = np.argsort(keys, kind="stable")
-    k, i = keys[order], ids[order]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flat = mix(np.concatenate(sets.runs) + np.uint64(7))
+    order = flat >> np.uint64(27)
+    if levels is not None:
+        order |= levels[_slot(np.concatenate(sets.runs))].astype(np.uint64) << np.uint64(37)
+    order |= np.repeat(np.arange(len(sets.runs), dtype=np.uint64), sets.sizes) << np.uint64(42)
+    flat = flat[np.argsort(order)]
+    begins = np.cumsum(sets.sizes) - sets.sizes
+    d = np.array(bands.d)[band]
+    n = np.minimum(d + 1, sets.sizes[at])
+    role = np.repeat(np.arange(len(at)), n)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return at[role], mix(flat[begins[at[role]] + place] ^ mix(band[role].astype(np.uint64) + np.uint64(1))), place, d[role]
+
+
+def _star(ids: np.ndarray, keys: np.ndarray, place: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows to send on, and the distinct pairs (hub, other): a row that could link with its hub is stood for by it."""
+    order = np.lexsort((ids, place, keys))
+    k, i, p = keys[order], ids[order], place[order]
     head = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    first = np.flatnonzero(head)
-    hub = np.minimum.reduceat(i, first) if len(first) else i
-    of = hub[np.cumsum(head) - 1] if len(k) else hub
-    other = of != i
-    pairs = np.unique(np.stack([of[other], i[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return k[first], hub, pairs[:, 0], pairs[:, 1]
+    hub = np.flatnonzero(head)[np.cumsum(head) - 1] if len(k) else np.zeros(0, np.int64)
+    held = ~head & (p + p[hub] <= d[order])
+    other = held & (i != i[hub])
+    a, b = i[hub][other], i[other]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return order[~held], pairs[:, 0], pairs[:, 1]
+
 
+def narrow_sketch(runs: list[np.ndarray]) -> list[bytes]:
+    """The parity of each set's elements in each of NARROW bits."""
+    out = []
+    for r in runs:
+        out.append(np.packbits((np.bincount((r >> np.uint64(20)).astype(np.int64) & (NARROW - 1), minlength=NARROW) & 1).astype(np.uint8)).tobytes())
+    return out
 
-def common_slots(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """Which slots hold shingles of very many documents: at most COMMON slots, whatever the data.
+
+def shingle_levels(df: DataFrame, text: str, width: int) -> np.ndarray:
+    """By slot the level of its shingles: 0, or the bit length of how often they are met, for COMMON slots at most.
 
     A task reports the slots that are met at least 8 times and 4 times the mean more in its documents.
     """
@@ -178,37 +159,81 @@ def common_slots(df: DataFrame, text: str, width: int) -> np.ndarray:
         many = np.flatnonzero(counts >= 8 + 4 * counts.mean())
         yield pa.RecordBatch.from_arrays([pa.array(many.astype(np.int32)), pa.array(counts[many].astype(np.int64))], ["slot", "n"])
 
-    rows = df.select(text).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(COMMON).select("slot").toArrow()
-    common = np.zeros(1 << SLOT_BITS, bool)
-    common[np.asarray(rows.column(0))] = True
-    return common
+    rows = df.select(text).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(COMMON).toArrow()
+    levels = np.zeros(1 << SLOT_BITS, np.uint8)
+    levels[np.asarray(rows.column("slot"))] = np.minimum(30, np.log2(np.maximum(1, np.asarray(rows.column("n")))).astype(np.uint8) + 1)
+    return levels
 
 
-def _rows(df: DataFrame, key: str, text: str, width: int, num: int, den: int, common, star: bool) -> DataFrame:
-    """(key, a, b): a found by this block key; star: only the hub of a batch is, and b is given for pairs in a batch."""
+def _rows(df: DataFrame, width: int, num: int, den: int, levels, star: bool) -> DataFrame:
+    """(key, a, place, d, b) of documents (id, t): a found by this block; star: others of a batch are stood for by their hub, in rows (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 sets = Sets(part.column(1).to_pylist(), width)
-                own, keys = block_keys(sets, Bands(num, den, int(sets.sizes.max(initial=1))), np.unpackbits(common.value).astype(bool))
+                own, keys, place, d = block_keys(sets, Bands(num, den, int(sets.sizes.max(initial=1))), levels.value)
                 ids = np.asarray(part.column(0))[own].astype(np.int64)
-                if star:
-                    keys, ids, a, b = _star(ids, keys)
-                else:
-                    a = b = np.zeros(0, np.int64)
+                sent, a, b = _star(ids, keys, place, d) if star else (np.arange(len(ids)), *np.zeros((2, 0), np.int64))
                 spread = mix(a.astype(np.uint64) * np.uint64(3) + mix(b.astype(np.uint64)))
+                none = np.zeros(len(a), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([keys, spread]).view(np.int64)),
-                        pa.array(np.concatenate([ids, a])),
-                        pa.array(np.concatenate([np.zeros(len(ids), np.int64), b]), mask=np.arange(len(ids) + len(b)) < len(ids)),
+                        pa.array(np.concatenate([keys[sent], spread]).view(np.int64)),
+                        pa.array(np.concatenate([ids[sent], a])),
+                        pa.array(np.concatenate([place[sent].astype(np.int32), none])),
+                        pa.array(np.concatenate([d[sent].astype(np.int32), none])),
+                        pa.array(np.concatenate([np.zeros(len(sent), np.int64), b]), mask=np.arange(len(sent) + len(b)) < len(sent)),
                     ],
-                    ["key", "a", "b"],
+                    ["key", "a", "place", "d", "b"],
                 )
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, "key long, a long, b long")
+    return df.select("id", "t").mapInArrow(run, "key long, a long, place int, d int, b long")
+
+
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(id, n, sketch) of texts (id, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                sets = Sets(part.column(1).to_pylist(), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes), pa.array(narrow_sketch(sets.runs), pa.binary())], ["id", "n", "sketch"])
+
+    return texts.select("id", "t").mapInArrow(run, "id long, n long, sketch binary")
+
+
+def _may_link(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose narrow sketches differ in no more bits than their sets may in elements."""
+    left, right = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, NARROW // 64) for c in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            a, b = (np.asarray(batch.column(c)) for c in (2, 3))
+            keep = pa.array((differ * (den + num) <= (den - num) * (a + b)) & (num * np.maximum(a, b) <= den * np.minimum(a, b)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def set_digests(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, n_shingles, d1, d2) for every row: the size of its set and a 128-bit digest that equal sets share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                sets = Sets(part.column(1).to_pylist(), width)
+                d = np.zeros((2, len(sets.runs)), np.uint64)
+                for i, r in enumerate(sets.runs):
+                    d[:, i] = r.sum(), np.bitwise_xor.reduce(mix(r + np.uint64(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes), *(pa.array(x.view(np.int64)) for x in d)], [key, "n_shingles", "d1", "d2"])
+
+    return df.select(key, F.col(text).alias("t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, d1 long, d2 long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -240,72 +265,86 @@ def _merge(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(labels.join(top, F.col("comp") == F.col("n"), "left").select("node", F.coalesce("c", "comp").alias("comp")))
 
 
-def linked_components(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(node, comp) for the documents that may have a link: comp is the smallest key reachable by links of num / den or more.
-
-    Null, empty and blank texts have an empty set and no links; a text of fewer than `width` words is one
-    shingle. Documents in no row of the result stand alone. Rows repeated with their key are one document.
-    """
-    scratch = Scratch(df.sparkSession, "jaccard")
-    df = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    common = df.sparkSession.sparkContext.broadcast(np.packbits(common_slots(df, "t", width)))
-    rows = _rows(df, "id", "t", width, num, den, common, star=True)
-    hub = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("key"))
-    pairs = rows.withColumn("hub", hub).select(F.when(F.col("b").isNull(), F.col("hub")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b"))
-    pairs = scratch.table(pairs.filter("a <> b").distinct())
+def _aliased(pairs: DataFrame, alias: DataFrame) -> DataFrame:
+    """pairs (a, b) with ids of copies replaced by those that stand for them; pairs within a class go."""
+    for c in ("a", "b"):
+        pairs = pairs.join(alias.select(F.col("id").alias("__i"), "rep"), F.col(c) == F.col("__i"), "left").withColumn(c, F.coalesce("rep", c)).drop("__i", "rep")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def linked_components(df: DataFrame, stats: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(node, comp) for the documents (id, t) that have a link: comp is the smallest id reachable. stats: set_digests() of them."""
+    twins = stats.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep < top").select("n_shingles", "d1", "d2", "rep")
+    alias = scratch.table(stats.join(twins, ["n_shingles", "d1", "d2"]).filter("id <> rep").select("id", "rep").distinct())
+    labels = _linked(df, alias, width, num, den, scratch)
+    classes = alias.select(F.col("rep").alias("__r")).distinct().join(labels, F.col("__r") == F.col("node"), "left_anti").select(F.col("__r").alias("node"), F.col("__r").alias("comp"))
+    labels = scratch.table(labels.unionByName(classes))
+    copies = alias.join(labels, F.col("rep") == F.col("node")).select(F.col("id").alias("node"), "comp")
+    return scratch.table(labels.unionByName(copies))
+
+
+def _linked(df: DataFrame, alias: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """linked_components() of the documents that stand for their class of equal sets."""
+    levels = df.sparkSession.sparkContext.broadcast(shingle_levels(df, "t", width))
+    rows = _rows(df, width, num, den, levels, star=True)
+    block = Window.partitionBy("key")
+    hub = F.min(F.when(F.col("b").isNull(), F.struct("place", "a"))).over(block)
+    rows = rows.withColumn("hub", hub).filter("b is not null or (a <> hub.a and place + hub.place <= d)")
+    pairs = scratch.table(rows.select(F.when(F.col("b").isNull(), F.col("hub.a")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).distinct())
+    pairs = scratch.table(_aliased(pairs, alias))
     found = scratch.table(pairs.select("a").union(pairs.select("b")).distinct())
     texts = scratch.table(df.join(found, F.col("id") == F.col("a"), "left_semi").groupBy("id").agg(F.min("t").alias("t")))
-    done = scratch.table(_verify(pairs, texts, width, num, den))
+    sketches = scratch.table(_sketches(texts, width))
+    linked = scratch.table(_verify(_may_link(pairs, sketches, num, den), texts, width, num, den).filter("linked").select("a", "b"))
     nodes = found.select(F.col("a").alias("node"), F.col("a").alias("comp"))
-    labels = _merge(nodes, done.filter("linked").select("a", "b"), scratch)
-    if not done.filter("not linked").limit(1).count():
-        return labels
+    labels = _merge(nodes, linked, scratch)
     # Candidates that failed: in their groups of candidates, pairs that were never compared could link.
-    near = components(pairs, scratch).select(F.col("node").alias("n"), F.col("comp").alias("near"))
-    open_ = done.filter("not linked").select(F.col("a").alias("n")).join(near, "n").select(F.col("near").alias("o")).distinct()
-    again = near.join(open_, F.col("near") == F.col("o"), "left_semi").select(F.col("n").alias("i"))
-    keyed = _rows(texts.join(again, F.col("id") == F.col("i"), "left_semi"), "id", "t", width, num, den, common, star=False).select("key", F.col("a").alias("node"))
-    sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size")).filter("size > 2")
-    keyed = scratch.table(keyed.join(sizes, F.col("key") == F.col("k")).select("key", "node", "size"))
-    degree = keyed.groupBy(F.col("node").alias("n")).agg(F.count(F.lit(1)).alias("degree"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), F.xxhash64("node"), "node"))
-    keyed = scratch.table(keyed.join(degree, F.col("node") == F.col("n")).select("key", "node", "size", place.alias("place")))
+    near = scratch.table(components(pairs, scratch).select(F.col("node").alias("n"), F.col("comp").alias("near")))
+    open_ = near.join(labels, F.col("n") == F.col("node")).groupBy(F.col("near").alias("o")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("of")).filter("lo < hi and of > 2").select("o")
+    again = scratch.table(near.join(open_, F.col("near") == F.col("o"), "left_semi").select(F.col("n").alias("i")))
+    keyed = _rows(texts.join(again, F.col("id") == F.col("i"), "left_semi"), width, num, den, levels, star=False).select("key", F.col("a").alias("node"), "place", "d")
+    # of a pair that may link, one stands in the first half of its places: the other only has to be in reach of the first member
+    sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 2")
+    keyed = keyed.join(sizes, F.col("key") == F.col("k")).filter("place + first <= d").select("key", "node", "place", "d")
+    nth = F.row_number().over(block.orderBy("place", F.xxhash64("node"), "node"))
+    keyed = scratch.table(keyed.withColumn("nth", nth))
     at, pivots = 0, FIRST_PIVOTS
     while True:
-        now = keyed.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "node", "size", "place", "comp")
-        split = now.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("place").alias("last")).filter(f"lo < hi and last > {at}")
+        now = keyed.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "node", "place", "d", "nth", "comp")
+        left = F.max(F.when(2 * F.col("place") <= F.col("d"), F.col("nth")).otherwise(0))
+        split = now.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), left.alias("last")).filter(f"lo < hi and last > {at}")
         now = scratch.table(now.join(split.select("k"), F.col("key") == F.col("k"), "left_semi"))
-        some = now.filter((F.col("place") > at) & (F.col("place") <= at + pivots)).select(F.col("key").alias("k"), F.col("node").alias("p"), F.col("comp").alias("cp"))
-        fresh = now.join(some, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("cp"))).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        fresh = scratch.table(fresh.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"))
         if now.limit(1).count() == 0:
             return labels
-        checked = scratch.table(_verify(fresh, texts, width, num, den))
-        done = done.unionByName(checked)
-        labels = _merge(labels, checked.filter("linked").select("a", "b"), scratch)
+        some = now.filter((F.col("nth") > at) & (F.col("nth") <= at + pivots) & (2 * F.col("place") <= F.col("d")))
+        some = some.select(F.col("key").alias("k"), F.col("node").alias("p"), F.col("place").alias("pp"), F.col("comp").alias("cp"))
+        fresh = now.join(some, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("cp")) & (F.col("place") + F.col("pp") <= F.col("d")))
+        fresh = fresh.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        links = scratch.table(_verify(_may_link(fresh, sketches, num, den), texts, width, num, den).filter("linked").select("a", "b"))
+        labels = _merge(labels, links, scratch)
         at, pivots = at + pivots, 2 * pivots
 
 
-def set_sizes(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, n_shingles) for every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(Sets(part.column(1).to_pylist(), width).sizes)], [key, "n_shingles"])
-
-    return df.select(key, F.col(text).alias("t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long")
+def _components(df: DataFrame, key: str, text: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(df.sparkSession, "jaccard")
+    stats = scratch.table(set_digests(df, key, text, width))
+    docs = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    known = stats.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "n_shingles", "d1", "d2")
+    return stats, linked_components(docs, known, width, num, den, scratch)
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One row a document: key, n_shingles, component_id (the smallest key of its component, its own if it has no link)."""
-    comps = linked_components(df, key, text, width, num, den)
-    sizes = set_sizes(df, key, text, width)
-    return sizes.join(comps, F.col(key) == F.col("node"), "left").select(key, "n_shingles", F.coalesce("comp", key).alias("component_id"))
+    """One row a document: key, n_shingles, component_id (the smallest key of its component, its own if it has no link).
+
+    Two documents link if den * intersection >= num * union. Null, empty and blank texts have an empty set and
+    no links; a text of fewer than `width` words is one shingle. Rows repeated with their key are one document.
+    """
+    stats, comps = _components(df, key, text, width, num, den)
+    return stats.join(comps, F.col(key) == F.col("node"), "left").select(key, "n_shingles", F.coalesce("comp", key).alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """df with one document of each component: the one of the smallest key."""
-    gone = linked_components(df, key, text, width, num, den).filter("node <> comp").select("node")
-    return df.join(Scratch(df.sparkSession, "copies").table(gone), F.col(key) == F.col("node"), "left_anti")
+    _, comps = _components(df, key, text, width, num, den)
+    gone = Scratch(df.sparkSession, "copies").table(comps.filter("node <> comp").select("node"))
+    return df.join(gone, F.col(key) == F.col("node"), "left_anti")
