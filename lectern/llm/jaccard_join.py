@@ -40,7 +40,7 @@ BATCH = 2000
 SLOT_BITS = 22
 COMMON = 1 << 18
 NARROW = 1024
-FIRST_PIVOTS = 16
+FIRST_PIVOTS = 64
 
 
 class Sets:
@@ -290,19 +290,16 @@ def _linked(df: DataFrame, alias: DataFrame, width: int, num: int, den: int, scr
     block = Window.partitionBy("key")
     hub = F.min(F.when(F.col("b").isNull(), F.struct("place", "a"))).over(block)
     rows = rows.withColumn("hub", hub).filter("b is not null or (a <> hub.a and place + hub.place <= d)")
-    pairs = scratch.table(rows.select(F.when(F.col("b").isNull(), F.col("hub.a")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).distinct())
+    pairs = scratch.table(rows.select(F.when(F.col("b").isNull(), F.col("hub.a")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).distinct(), release=True)
     pairs = scratch.table(_aliased(pairs, alias))
     found = scratch.table(pairs.select("a").union(pairs.select("b")).distinct())
-    texts = scratch.table(df.join(found, F.col("id") == F.col("a"), "left_semi").groupBy("id").agg(F.min("t").alias("t")))
+    texts = scratch.table(df.join(found, F.col("id") == F.col("a"), "left_semi").groupBy("id").agg(F.min("t").alias("t")), release=True)
     sketches = scratch.table(_sketches(texts, width))
     linked = scratch.table(_verify(_may_link(pairs, sketches, num, den), texts, width, num, den).filter("linked").select("a", "b"))
     nodes = found.select(F.col("a").alias("node"), F.col("a").alias("comp"))
     labels = _merge(nodes, linked, scratch)
-    # Candidates that failed: in their groups of candidates, pairs that were never compared could link.
-    near = scratch.table(components(pairs, scratch).select(F.col("node").alias("n"), F.col("comp").alias("near")))
-    open_ = near.join(labels, F.col("n") == F.col("node")).groupBy(F.col("near").alias("o")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("of")).filter("lo < hi and of > 2").select("o")
-    again = scratch.table(near.join(open_, F.col("near") == F.col("o"), "left_semi").select(F.col("n").alias("i")))
-    keyed = _rows(texts.join(again, F.col("id") == F.col("i"), "left_semi"), width, num, den, levels, star=False).select("key", F.col("a").alias("node"), "place", "d")
+    # Where candidates failed, others of their groups, which were never compared, could link.
+    keyed = _rows(texts, width, num, den, levels, star=False).select("key", F.col("a").alias("node"), "place", "d")
     # of a pair that may link, one stands in the first half of its places: the other only has to be in reach of the first member
     sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 2")
     keyed = keyed.join(sizes, F.col("key") == F.col("k")).filter("place + first <= d").select("key", "node", "place", "d")
@@ -321,8 +318,9 @@ def _linked(df: DataFrame, alias: DataFrame, width: int, num: int, den: int, scr
         fresh = now.join(some, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("cp")) & (F.col("place") + F.col("pp") <= F.col("d")))
         fresh = fresh.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links = scratch.table(_verify(_may_link(fresh, sketches, num, den), texts, width, num, den).filter("linked").select("a", "b"))
-        labels = _merge(labels, links, scratch)
-        at, pivots = at + pivots, 2 * pivots
+        if links.limit(1).count():
+            labels = _merge(labels, links, scratch)
+        at, pivots = at + pivots, 8 * pivots
 
 
 def _components(df: DataFrame, key: str, text: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:

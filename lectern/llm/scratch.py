@@ -26,16 +26,20 @@ class Scratch:
         self.root = f"{shared_dir(spark).rstrip('/')}/lectern-{name}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """df written as Parquet and read back: later reads depend on these files alone."""
+    def table(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """df written as Parquet and read back: later reads depend on these files alone.
+
+        release: let shuffle files of the finished job go now, not only when the driver's heap is full.
+        """
         self.made += 1
         path = f"{self.root}/{self.made:03d}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lectern_path = path
-        del df
-        gc.collect()
-        self.spark._jvm.System.gc()  # shuffle files of the finished job go now, not when the driver's heap is full
+        if release:
+            del df
+            gc.collect()
+            self.spark._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:

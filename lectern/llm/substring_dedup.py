@@ -138,7 +138,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int
     Rows repeated with their id are one document. Texts that lose everything are empty. Rows without a key
     stay as they are.
     """
-    found = Scratch(df.sparkSession, "repeats").table(repeated(df, key, text)).select(F.col("id").alias("__id"), F.col("repeats").alias("__repeats"))
+    found = Scratch(df.sparkSession, "repeats").table(repeated(df, key, text), release=True).select(F.col("id").alias("__id"), F.col("repeats").alias("__repeats"))
     names = [c for c in df.columns if c != text]
     extra = ["n_chunks", "repeat_words", "removed_words", "removed_chars", "first_ids"]
     names = [c for c in names if c not in extra]
