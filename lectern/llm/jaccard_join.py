@@ -123,8 +123,8 @@ def block_keys(sets: Sets, bands: Bands, levels: np.ndarray | None = None) -> tu
     return at[role], mix(flat[begins[at[role]] + place] ^ mix(band[role].astype(np.uint64) + np.uint64(1))), place, d[role]
 
 
-def _star(ids: np.ndarray, keys: np.ndarray, place: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which rows to send on, and the distinct pairs (hub, other): a row that could link with its hub is stood for by it."""
+def _star(ids: np.ndarray, keys: np.ndarray, place: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows to send on, for how many others each stands, and the distinct pairs (hub, other): a row that could link with its hub is stood for by it."""
     order = np.lexsort((ids, place, keys))
     k, i, p = keys[order], ids[order], place[order]
     head = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
@@ -133,7 +133,7 @@ def _star(ids: np.ndarray, keys: np.ndarray, place: np.ndarray, d: np.ndarray) -
     other = held & (i != i[hub])
     a, b = i[hub][other], i[other]
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return order[~held], pairs[:, 0], pairs[:, 1]
+    return order[~held], np.bincount(hub[held], minlength=len(k))[~held], pairs[:, 0], pairs[:, 1]
 
 
 def narrow_sketch(runs: list[np.ndarray]) -> list[bytes]:
@@ -166,7 +166,7 @@ def shingle_levels(df: DataFrame, text: str, width: int) -> np.ndarray:
 
 
 def _rows(df: DataFrame, width: int, num: int, den: int, levels, star: bool) -> DataFrame:
-    """(key, a, place, d, b) of documents (id, t): a found by this block; star: others of a batch are stood for by their hub, in rows (a, b)."""
+    """(key, a, place, d, held, b) of documents (id, t): a found by this block; star: `held` others of a batch are stood for by their hub, in rows (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +175,7 @@ def _rows(df: DataFrame, width: int, num: int, den: int, levels, star: bool) ->
                 sets = Sets(part.column(1).to_pylist(), width)
                 own, keys, place, d = block_keys(sets, Bands(num, den, int(sets.sizes.max(initial=1))), levels.value)
                 ids = np.asarray(part.column(0))[own].astype(np.int64)
-                sent, a, b = _star(ids, keys, place, d) if star else (np.arange(len(ids)), *np.zeros((2, 0), np.int64))
+                sent, held, a, b = _star(ids, keys, place, d) if star else (np.arange(len(ids)), np.zeros(len(ids), np.int64), *np.zeros((2, 0), np.int64))
                 spread = mix(a.astype(np.uint64) * np.uint64(3) + mix(b.astype(np.uint64)))
                 none = np.zeros(len(a), np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -184,30 +184,18 @@ def _rows(df: DataFrame, width: int, num: int, den: int, levels, star: bool) ->
                         pa.array(np.concatenate([ids[sent], a])),
                         pa.array(np.concatenate([place[sent].astype(np.int32), none])),
                         pa.array(np.concatenate([d[sent].astype(np.int32), none])),
+                        pa.array(np.concatenate([held.astype(np.int32), none])),
                         pa.array(np.concatenate([np.zeros(len(sent), np.int64), b]), mask=np.arange(len(sent) + len(b)) < len(sent)),
                     ],
-                    ["key", "a", "place", "d", "b"],
+                    ["key", "a", "place", "d", "held", "b"],
                 )
 
-    return df.select("id", "t").mapInArrow(run, "key long, a long, place int, d int, b long")
-
-
-def _sketches(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, sketch) of texts (id, t)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                sets = Sets(part.column(1).to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes), pa.array(narrow_sketch(sets.runs), pa.binary())], ["id", "n", "sketch"])
-
-    return texts.select("id", "t").mapInArrow(run, "id long, n long, sketch binary")
+    return df.select("id", "t").mapInArrow(run, "key long, a long, place int, d int, held int, b long")
 
 
 def _may_link(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose narrow sketches differ in no more bits than their sets may in elements."""
-    left, right = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    left, right = (sketches.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +209,7 @@ def _may_link(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
 
 
 def set_digests(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, n_shingles, d1, d2) for every row: the size of its set and a 128-bit digest that equal sets share."""
+    """(key, n_shingles, d1, d2, sketch) for every row: the size of its set, a 128-bit digest that equal sets share, the narrow sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,9 +219,9 @@ def set_digests(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 d = np.zeros((2, len(sets.runs)), np.uint64)
                 for i, r in enumerate(sets.runs):
                     d[:, i] = r.sum(), np.bitwise_xor.reduce(mix(r + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes), *(pa.array(x.view(np.int64)) for x in d)], [key, "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.sizes), *(pa.array(x.view(np.int64)) for x in d), pa.array(narrow_sketch(sets.runs), pa.binary())], [key, "n_shingles", "d1", "d2", "sketch"])
 
-    return df.select(key, F.col(text).alias("t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, d1 long, d2 long")
+    return df.select(key, F.col(text).alias("t")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -267,44 +255,56 @@ def _merge(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _aliased(pairs: DataFrame, alias: DataFrame) -> DataFrame:
     """pairs (a, b) with ids of copies replaced by those that stand for them; pairs within a class go."""
+    more = [F.max(c).alias(c) for c in pairs.columns if c not in ("a", "b")]
     for c in ("a", "b"):
         pairs = pairs.join(alias.select(F.col("id").alias("__i"), "rep"), F.col(c) == F.col("__i"), "left").withColumn(c, F.coalesce("rep", c)).drop("__i", "rep")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    return pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).filter("a <> b").groupBy("a", "b").agg(*more)
 
 
 def linked_components(df: DataFrame, stats: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(node, comp) for the documents (id, t) that have a link: comp is the smallest id reachable. stats: set_digests() of them."""
     twins = stats.filter("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("rep"), F.max("id").alias("top")).filter("rep < top").select("n_shingles", "d1", "d2", "rep")
     alias = scratch.table(stats.join(twins, ["n_shingles", "d1", "d2"]).filter("id <> rep").select("id", "rep").distinct())
-    labels = _linked(df, alias, width, num, den, scratch)
+    labels = _linked(df, stats.select("id", "n_shingles", "sketch").dropDuplicates(["id"]), alias, width, num, den, scratch)
     classes = alias.select(F.col("rep").alias("__r")).distinct().join(labels, F.col("__r") == F.col("node"), "left_anti").select(F.col("__r").alias("node"), F.col("__r").alias("comp"))
     labels = scratch.table(labels.unionByName(classes))
     copies = alias.join(labels, F.col("rep") == F.col("node")).select(F.col("id").alias("node"), "comp")
     return scratch.table(labels.unionByName(copies))
 
 
-def _linked(df: DataFrame, alias: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+def _texts(df: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, t) of the documents in pairs (a, b)."""
+    found = scratch.table(pairs.select("a").union(pairs.select("b")).distinct())
+    return scratch.table(df.join(found, F.col("id") == F.col("a"), "left_semi").groupBy("id").agg(F.min("t").alias("t")), release=True)
+
+
+def _linked(df: DataFrame, sketches: DataFrame, alias: DataFrame, width: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """linked_components() of the documents that stand for their class of equal sets."""
     levels = df.sparkSession.sparkContext.broadcast(shingle_levels(df, "t", width))
     rows = _rows(df, width, num, den, levels, star=True)
     block = Window.partitionBy("key")
     hub = F.min(F.when(F.col("b").isNull(), F.struct("place", "a"))).over(block)
-    rows = rows.withColumn("hub", hub).filter("b is not null or (a <> hub.a and place + hub.place <= d)")
-    pairs = scratch.table(rows.select(F.when(F.col("b").isNull(), F.col("hub.a")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).distinct(), release=True)
+    rows = rows.withColumn("hub", hub).withColumn("of", F.sum(F.col("held") + 1).over(block)).filter("b is not null or (a <> hub.a and place + hub.place <= d)")
+    a, b = F.when(F.col("b").isNull(), F.col("hub.a")).otherwise(F.col("a")), F.coalesce("b", "a")
+    # many: the pair may come from a group of three or more
+    pairs = rows.select(a.alias("a"), b.alias("b"), (F.col("b").isNotNull() | (F.col("of") > 2)).alias("many")).groupBy("a", "b").agg(F.max("many").alias("many"))
+    pairs = scratch.table(pairs, release=True)
     pairs = scratch.table(_aliased(pairs, alias))
-    found = scratch.table(pairs.select("a").union(pairs.select("b")).distinct())
-    texts = scratch.table(df.join(found, F.col("id") == F.col("a"), "left_semi").groupBy("id").agg(F.min("t").alias("t")), release=True)
-    sketches = scratch.table(_sketches(texts, width))
-    linked = scratch.table(_verify(_may_link(pairs, sketches, num, den), texts, width, num, den).filter("linked").select("a", "b"))
-    nodes = found.select(F.col("a").alias("node"), F.col("a").alias("comp"))
-    labels = _merge(nodes, linked, scratch)
-    # Where candidates failed, others of their groups, which were never compared, could link.
+    close = scratch.table(_may_link(pairs, sketches, num, den))
+    linked = scratch.table(_verify(close, _texts(df, close, scratch), width, num, den).filter("linked").select("a", "b"), release=True)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    labels = _merge(scratch.table(nodes.select("node", F.col("node").alias("comp"))), linked, scratch)
+    # Where candidates of a group of three or more failed, others of it, which were never compared, could link.
+    failed = pairs.filter("many").join(linked, ["a", "b"], "left_anti")
+    bad = scratch.table(failed.select(F.col("a").alias("n")).union(failed.select("b")).distinct())
+    near = pairs.filter("many").withColumn("e", F.explode(F.array("a", "b"))).join(bad, F.col("e") == F.col("n"), "left_semi").select("a", "b")
+    texts = _texts(df, near, scratch)
     keyed = _rows(texts, width, num, den, levels, star=False).select("key", F.col("a").alias("node"), "place", "d")
     # of a pair that may link, one stands in the first half of its places: the other only has to be in reach of the first member
     sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 2")
     keyed = keyed.join(sizes, F.col("key") == F.col("k")).filter("place + first <= d").select("key", "node", "place", "d")
     nth = F.row_number().over(block.orderBy("place", F.xxhash64("node"), "node"))
-    keyed = scratch.table(keyed.withColumn("nth", nth))
+    keyed = scratch.table(keyed.withColumn("nth", nth), release=True)
     at, pivots = 0, FIRST_PIVOTS
     while True:
         now = keyed.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("key", "node", "place", "d", "nth", "comp")
@@ -317,7 +317,8 @@ def _linked(df: DataFrame, alias: DataFrame, width: int, num: int, den: int, scr
         some = some.select(F.col("key").alias("k"), F.col("node").alias("p"), F.col("place").alias("pp"), F.col("comp").alias("cp"))
         fresh = now.join(some, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("cp")) & (F.col("place") + F.col("pp") <= F.col("d")))
         fresh = fresh.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links = scratch.table(_verify(_may_link(fresh, sketches, num, den), texts, width, num, den).filter("linked").select("a", "b"))
+        fresh = scratch.table(_may_link(fresh, sketches, num, den))
+        links = scratch.table(_verify(fresh, texts, width, num, den).filter("linked").select("a", "b"))
         if links.limit(1).count():
             labels = _merge(labels, links, scratch)
         at, pivots = at + pivots, 8 * pivots
@@ -327,7 +328,7 @@ def _components(df: DataFrame, key: str, text: str, width: int, num: int, den: i
     scratch = Scratch(df.sparkSession, "jaccard")
     stats = scratch.table(set_digests(df, key, text, width))
     docs = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    known = stats.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "n_shingles", "d1", "d2")
+    known = stats.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "n_shingles", "d1", "d2", "sketch")
     return stats, linked_components(docs, known, width, num, den, scratch)
 
 
