@@ -70,12 +70,15 @@ def stretches(raw: bytes, size: int = STRETCH) -> Iterator[bytes]:
 def gathered(texts: list[str | None], size: int = STRETCH) -> Iterator[tuple[list[int], list[int], bytes]]:
     """Texts joined by line ends to stretches of about `size` bytes: numbers of the texts, their lengths with the line end, the bytes.
 
-    A longer text comes alone, in several stretches.
+    A longer text comes alone, in several stretches, after the texts before it.
     """
     at, lengths, parts, total = [], [], [], 0
     for i, t in enumerate(texts):
         raw = (t or "").encode() + b"\n"
         if len(raw) > 2 * size:
+            if at:
+                yield at, lengths, b"".join(parts)
+                at, lengths, parts, total = [], [], [], 0
             for part in stretches(raw, size):
                 yield [i], [len(part)], part
             continue

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import bpe, html_extract, jaccard_join, mixing, order, quality, queries, sharding, simhash, substring_dedup, token_count, toxicity
 from lectern.llm.scratch import Scratch
+from lectern.llm.tokens import STRETCH, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -90,6 +91,24 @@ def test_jaccard_join_against_all_pairs(spark, width, num, den):
         assert kept == {c for _, c in want.values()}
 
 
+def test_words_of_long_texts_stay_in_order(spark):
+    random.seed(4)
+    texts = [" ".join(random.choice(VOCAB) for _ in range(random.choice([0, 2, 9, 80]))) for _ in range(60)]
+    for size in (16, 64, 256):
+        h, bounds = word_hashes(texts, size)
+        for i, t in enumerate(texts):
+            assert (h[bounds[i] : bounds[i + 1]] == word_hashes([t])[0]).all()
+    long = " ".join(f"v{i}" for i in range(300_000))
+    assert len(long) > 2 * STRETCH
+    short = " ".join(random.choice(VOCAB) for _ in range(40))
+    mixed = [short, "other words " + short, long, short, long + " more"]
+    runs = jaccard_join.Sets(mixed, 5).runs
+    assert all((x == jaccard_join.Sets([t], 5).runs[0]).all() for x, t in zip(runs, mixed, strict=True))
+    df = spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect()}
+    assert got == components(list(enumerate(mixed)), 5, 8, 10)
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.join(empty).count() == 0
 
