@@ -296,8 +296,12 @@ def _linked(df: DataFrame, sketches: DataFrame, alias: DataFrame, width: int, nu
     labels = _merge(scratch.table(nodes.select("node", F.col("node").alias("comp"))), linked, scratch)
     # Where candidates of a group of three or more failed, others of it, which were never compared, could link.
     failed = pairs.filter("many").join(linked, ["a", "b"], "left_anti")
-    bad = scratch.table(failed.select(F.col("a").alias("n")).union(failed.select("b")).distinct())
-    near = pairs.filter("many").withColumn("e", F.explode(F.array("a", "b"))).join(bad, F.col("e") == F.col("n"), "left_semi").select("a", "b")
+    reached = scratch.table(failed.select(F.col("a").alias("n")).union(failed.select("b")).distinct())
+    # A group is a star of stars: its members are three pairs at most from each of its pairs (other, hub, hub of all, hub, other).
+    for step in range(3):
+        near = pairs.filter("many").withColumn("e", F.explode(F.array("a", "b"))).join(reached, F.col("e") == F.col("n"), "left_semi").select("a", "b")
+        if step < 2:
+            reached = scratch.table(near.select(F.col("a").alias("n")).union(near.select("b")).distinct())
     texts = _texts(df, near, scratch)
     keyed = _rows(texts, width, num, den, levels, star=False).select("key", F.col("a").alias("node"), "place", "d")
     # of a pair that may link, one stands in the first half of its places: the other only has to be in reach of the first member

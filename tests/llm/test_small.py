@@ -109,6 +109,29 @@ def test_words_of_long_texts_stay_in_order(spark):
     assert got == components(list(enumerate(mixed)), 5, 8, 10)
 
 
+def test_jaccard_join_of_families_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BATCH", 3)
+    rows, want = [], {}
+    for seed in range(600):
+        rng = random.Random(seed)
+        words = [f"f{seed}w{i}" for i in range(27)]
+        family = [set(rng.sample(words, 9))]
+        while len(family) < 8:
+            x = set(rng.choice(family[-4:]))
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                if rng.random() < 0.5 and len(x) > 3:
+                    x.remove(rng.choice(sorted(x)))
+                else:
+                    x.add(rng.choice(words))
+            family.append(x)
+        rng.shuffle(family)
+        part = [(len(rows) + i, " ".join(sorted(x))) for i, x in enumerate(family)]
+        rows += part
+        want |= components(part, 1, 8, 10)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()}
+    assert got == want
+
+
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.join(empty).count() == 0
 
