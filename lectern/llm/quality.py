@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACES, let, words
+from .words import SPACE_RUN, SPACES, let, words
 
 #: Phrases of site furniture, matched without case anywhere in a line.
 BOILERPLATE = (
@@ -26,16 +26,18 @@ def has_word(line: Column) -> Column:
 
 def line_ok(line: Column) -> Column:
     """The verdict on one line that has a word; a phrase of boilerplate only counts against lines of 40 words at most."""
-    core = F.btrim(line, F.lit(SPACES))
-    n = F.size(F.split(core, r"[\x20\x09-\x0D]+"))
-    n_chars = F.length(core)
-    closes = core.rlike(r"[\p{L}\p{N})\]][.!?…:;][\"'”’»)\]]*$")
-    noise = n_chars - F.length(F.translate(core, "#*$%&|<>", ""))
-    shouted = n_chars - F.length(F.regexp_replace(core, r"\p{Lu}{2,}", ""))
-    bangs = n_chars - F.length(F.regexp_replace(core, r"[!?]{2,}", ""))
-    stutter = core.rlike(r"(?<![^\x20\x09])([^\x20\x09-\x0D]+)(?:[\x20\x09]\1){3,}(?![^\x20\x09])")
-    furniture = (n <= 40) & core.rlike("(?i)" + "|".join(BOILERPLATE))
-    return closes & (noise * 20 <= n_chars) & (shouted * 3 <= n_chars) & (bangs * 20 <= n_chars) & ~stutter & ~furniture
+
+    def core_ok(core: Column) -> Column:
+        n_chars = F.length(core)
+        closes = core.rlike(r"[\p{L}\p{N})\]][.!?…:;][\"'”’»)\]]*$")
+        noise = n_chars - F.length(F.translate(core, "#*$%&|<>", ""))
+        shouted = n_chars - F.length(F.regexp_replace(core, r"\p{Lu}{2,}", ""))
+        bangs = n_chars - F.length(F.regexp_replace(core, r"[!?]{2,}", ""))
+        stutter = core.rlike(r"(?<![^\x20\x09])([^\x20\x09-\x0D]+)(?:[\x20\x09]\1){3,}(?![^\x20\x09])")
+        furniture = core.rlike("(?i)" + "|".join(BOILERPLATE)) & (F.size(F.split(core, SPACE_RUN)) <= 40)
+        return closes & (noise * 20 <= n_chars) & (bangs * 20 <= n_chars) & (shouted * 3 <= n_chars) & ~furniture & ~stutter
+
+    return let(F.btrim(line, F.lit(SPACES)), core_ok)
 
 
 def clean_lines(df: DataFrame, text: str = "text", out: str = "clean_text") -> DataFrame:
@@ -60,14 +62,17 @@ def repeat_words(tokens: Column, width: int = 8) -> Column:
             ),
         )
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.xxhash64(F.slice(tokens, i, width)))
-    found = let(
-        hashes,
-        lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
-            let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)
-        ),
-    )
-    return F.when(F.size(tokens) > width, found).otherwise(F.lit(0).cast("long"))
+    def count(t: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(t) - (width - 1)), lambda i: F.xxhash64(F.slice(t, i, width)))
+        found = let(
+            hashes,
+            lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
+                let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), covered)
+            ),
+        )
+        return F.when(F.size(t) > width, found).otherwise(F.lit(0).cast("long"))
+
+    return let(tokens, count)
 
 
 def judge(df: DataFrame, text: str = "text", max_lost: float = 0.3, min_words: int = 20, max_repeat: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -76,26 +81,32 @@ def judge(df: DataFrame, text: str = "text", max_lost: float = 0.3, min_words: i
     base_failed: fewer than `min_words` words, or more than `max_repeat` of the words in repeated 8-word
     windows. kept: not base_failed, and the line rules leave `min_words` words and lose at most `max_lost`
     of the characters in words. Repeated rows are judged alike; other columns of df are left out.
+
+    Words and lines are bound once a text, and the verdict comes out of a generator of one row: a filter on it
+    stays above that generator, so the optimizer can't put the text's words in place of their column again.
     """
+    bare = lambda c: F.length(F.translate(c, SPACES, "")).cast("long")
+
+    def of_lines(t: Column, w: Column, every: Column) -> Column:
+        def verdict(lines: Column, good: Column) -> Column:
+            clean = F.array_join(good, "\n")
+            return F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                bare(t).alias("word_chars"),
+                (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+                (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+                repeat_words(w).alias("n_repeat_words"),
+                F.size(lines).cast("long").alias("n_lines"),
+                (F.size(lines) - F.size(F.filter(good, has_word))).cast("long").alias("n_bad_lines"),
+                clean.alias("clean_text"),
+            )
+
+        return let(F.filter(every, has_word), lambda lines: let(F.filter(every, lambda x: ~has_word(x) | line_ok(x)), lambda good: verdict(lines, good)))
+
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(*keep, t.alias("__t"))
-    rows = rows.withColumns({"__w": words(F.col("__t")), "__l": F.filter(F.split(F.col("__t"), "\n"), has_word)})
-    size = lambda c: F.length(F.translate(c, SPACES, ""))
-    rows = rows.select(
-        *keep,
-        F.size("__w").cast("long").alias("n_words"),
-        size(F.col("__t")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("__w")).alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines"),
-        F.filter(F.split("__t", "\n"), lambda x: ~has_word(x) | line_ok(x)).alias("__good"),
-    )
-    rows = rows.withColumn("clean_text", F.array_join("__good", "\n"))
-    rows = rows.withColumns({
-        "n_bad_lines": (F.col("n_lines") - F.size(F.filter("__good", has_word))).cast("long"),
-        "lost": F.when(F.col("word_chars") > 0, 1 - size(F.col("clean_text")) / F.col("word_chars")).otherwise(F.lit(1.0)),
-        "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words")),
-    })
-    kept = ~F.col("base_failed") & (F.col("lost") <= max_lost) & (F.size(words(F.col("clean_text"))) >= min_words)
-    return rows.withColumn("kept", kept).drop("__good")
+    counted = let(t, lambda x: let(words(x), lambda w: let(F.split(x, "\n"), lambda every: of_lines(x, w, every))))
+    rows = df.select(*keep, F.inline(F.array(counted)))
+    clean_words, lost = F.size(words(F.col("clean_text"))), F.when(F.col("word_chars") > 0, 1 - bare(F.col("clean_text")) / F.col("word_chars")).otherwise(F.lit(1.0))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words"))
+    rows = rows.withColumns({"base_failed": failed, "lost": lost})
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost) & (clean_words >= min_words))
