@@ -12,7 +12,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (a, b) -> (node, comp): comp is the smallest node reachable. Nodes without an edge are not in it."""
     both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     if not both.limit(1).count():
-        return both.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        none = both.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        none._lectern_path = both._lectern_path
+        return none
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("n")).agg(F.min("c").alias("c"))

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a local one of our own only where that is unset and all runs in one process."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         set_dir = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         spark.sparkContext.setCheckpointDir(set_dir)
     return set_dir
