@@ -40,8 +40,8 @@ BATCH = 2000
 SLOT_BITS = 22
 COMMON = 1 << 18
 NARROW = 1024
-#: Elements of a blob's slice and of a bucket: 32 MB of hashes, 16 MB.
-SLICE, BUCKET = 1 << 22, 1 << 21
+#: Elements of a blob's slice and of a bucket: 8 MB of hashes, 16 MB.
+SLICE, BUCKET = 1 << 20, 1 << 21
 MOST_BROADCAST = 500_000
 
 

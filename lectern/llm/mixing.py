@@ -40,17 +40,17 @@ def targets(sizes: DataFrame, source: str = "source", size: str = "size", weight
 
 
 def mix(
-    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, row: str | None = None
 ) -> DataFrame:
-    """One row a document: key, source, size, source_size, target, taken, whole, part.
+    """One row a document: key, source, size, source_size, target, taken, whole, part, and `row` (a number of the row) if it is given.
 
     taken = whole * size + part words; part < size only for the one document of a source at which its target
     is reached. Null texts have size 0 and are taken 0 words. Rows repeated as they are share the words of
-    their turns. Other columns of df are left out.
+    their turns; rows without a key are documents like any others. Other columns of df are left out.
     """
-    sizes = Scratch(df.sparkSession, "mix").table(df.select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.size(words(F.col(text))).cast("long").alias("__size")))
+    sizes = Scratch(df.sparkSession, "mix").table(df.select(F.col(key).alias("__key"), F.col(source).alias("__source"), F.size(words(F.col(text))).cast("long").alias("__size"), *([F.col(row).alias("__row")] if row else [])))
     goals = targets(sizes, "__source", "__size", weights, max_epochs).withColumnRenamed("__source", "__s")
-    rows = prefix_sum(sizes, ["__source"], "__key", F.col("__size"), "__before", seed)
+    rows = prefix_sum(sizes, ["__source"], "__key", F.col("__size"), "__before", seed, "__row" if row else None)
     rows = rows.join(goals, F.col("__source").eqNullSafe(F.col("__s")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("whole", whole)
@@ -58,21 +58,21 @@ def mix(
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__before"))).cast("long"))
     return rows.select(
         F.col("__key").alias(key), F.col("__source").alias(source), F.col("__size").alias("size"), "source_size", "target",
-        (F.col("whole") * F.col("__size") + F.col("part")).alias("taken"), "whole", "part",
+        (F.col("whole") * F.col("__size") + F.col("part")).alias("taken"), "whole", "part", *([F.col("__row").alias(row)] if row else []),
     )
 
 
 def sample(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed corpus: df's columns, a row for each time a document is taken; a part is its first words, one blank between them.
 
-    `key` has to be unique: the plan is joined back by it.
+    Rows are numbered in a scratch table first and the plan comes back by that number, so repeated rows and rows
+    without a key are taken as often as the mix says, like any others. Documents without words are never taken.
     """
-    plan = mix(df, key, text, source, **how).select(F.col(key).alias("__id"), F.col("size").alias("__n"), F.col("whole").alias("__whole"), F.col("part").alias("__part"))
-    rows = df.join(plan.filter("__whole > 0 or __part > 0"), F.col(key) == F.col("__id"))
+    rows = Scratch(df.sparkSession, "sample").table(df.withColumn("__nth", F.monotonically_increasing_id()))
+    plan = mix(rows, key, text, source, **how, row="__nth").select(F.col("__nth").alias("__id"), F.col("size").alias("__n"), F.col("whole").alias("__whole"), F.col("part").alias("__part"))
+    rows = rows.join(plan.filter("__whole > 0 or __part > 0"), F.col("__nth") == F.col("__id"))
     takes = F.concat(F.array_repeat(F.col("__n"), F.col("__whole").cast("int")), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("__take", F.explode(takes))
     head = F.array_join(F.slice(words(F.col(text)), F.lit(1), F.col("__take").cast("int")), " ")
     cut = F.when(F.col("__take") < F.col("__n"), head).otherwise(F.col(text))
     return rows.select(*[(cut.alias(c) if c == text else F.col(c)) for c in df.columns])
-
-

@@ -14,13 +14,13 @@ BUCKET_DIGITS = 3
 
 def seeded(key: str, seed: int) -> Column:
     """The place of a row in the order: a hex string that is the same in every run and engine."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"|{seed}")))
 
 
-def prefix_sum(df: DataFrame, group: list[str], key: str, value: Column, out: str, seed: int = 0) -> DataFrame:
+def prefix_sum(df: DataFrame, group: list[str], key: str, value: Column, out: str, seed: int = 0, tie: str | None = None) -> DataFrame:
     """df with `out`: the sum of value over the rows of its group that come before it.
 
-    The order is the seeded hash of `key`, then `key`, then the value. Null groups are a group like any other.
+    The order is the seeded hash of `key`, then `key`, then the value, then `tie`. Null groups and null keys are like any others.
     """
     h, b, v, base = "__hash", "__bucket", "__value", "__base"
     rows = df.withColumn(h, seeded(key, seed)).withColumn(b, F.substring(h, 1, BUCKET_DIGITS)).withColumn(v, value.cast("long"))
@@ -32,7 +32,7 @@ def prefix_sum(df: DataFrame, group: list[str], key: str, value: Column, out: st
     on = F.col(b) == F.col("__b")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    inner = Window.partitionBy(*group, b).orderBy(h, key, v).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*group, b).orderBy(h, key, v, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("__in", F.coalesce(F.sum(v).over(inner), F.lit(0))).join(bases, on)
     return placed.select(*[F.col(c) for c in df.columns], (F.col(base) + F.col("__in")).cast("long").alias(out))
 

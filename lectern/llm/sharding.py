@@ -9,7 +9,7 @@ a group is known by its counts per shard.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .order import row_index
@@ -95,22 +95,23 @@ def shard(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "tex
     """One row a document: key, size, text_crc32, law ('rows'), shard, slot, grown_shard (null under this law).
 
     size: UTF-8 bytes and 8; a null text has 8 and the CRC of no bytes, and is linked with nothing; empty
-    texts are equal texts. Slots run from 0 in each shard, in a seeded order. key has to be unique.
+    texts are equal texts. Slots run from 0 in each shard, in a seeded order. As many rows come out as went in:
+    rows that share a key, or have none, are numbered apart by text and place among their equals.
     """
     t = F.col(text)
     spark = df.sparkSession
-    base = Scratch(spark, "texts").table(
-        df.select(
-            F.col(key).alias("id"),
-            (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"),
-            F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.md5(t.cast("binary")).alias("digest"),
-        )
+    rows = df.select(
+        F.col(key).alias("id"),
+        (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"),
+        F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.md5(t.cast("binary")).alias("digest"),
     )
+    nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy("size"))
+    base = Scratch(spark, "texts").table(rows.withColumn("uid", F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("none")), F.coalesce("digest", F.lit("none")), nth.cast("string"))))
     twins = base.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("group"))
-    nodes = base.select("id", "digest").join(twins, F.col("digest") == F.col("group"), "left").select("id", "group")
-    placed = row_index(propagate(nodes, shards, "id", "group", rounds, seed), ["shard"], "id", "slot", seed)
-    placed = placed.select(F.col("id").alias("__id"), "shard", "slot")
-    return base.join(placed, F.col("id") == F.col("__id")).select(
+    nodes = base.select("uid", "digest").join(twins, F.col("digest") == F.col("group"), "left").select("uid", "group")
+    placed = row_index(propagate(nodes, shards, "uid", "group", rounds, seed), ["shard"], "uid", "slot", seed)
+    placed = placed.select(F.col("uid").alias("__id"), "shard", "slot")
+    return base.join(placed, F.col("uid") == F.col("__id")).select(
         F.col("id").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

@@ -48,7 +48,7 @@ def by_bytes(texts: list[str], most: int) -> Iterator[list[str]]:
     batch, size = [], 0
     for t in texts:
         batch.append(t)
-        size += len(t)
+        size += len(t.encode())
         if size >= most:
             yield batch
             batch, size = [], 0
@@ -57,7 +57,10 @@ def by_bytes(texts: list[str], most: int) -> Iterator[list[str]]:
 
 
 def token_counts(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
-    """One row a document: key, n_bytes, n_tokens, over_limit. Null texts count as empty.
+    """One row a document: key, n_bytes, n_tokens, over_limit. Null texts count as empty, repeated rows and rows without a key like any others.
+
+    Very long texts: the byte-level encoder cuts them at safe blanks; other libraries get them whole, as a cut could
+    change their tokens, one batch each once they pass BATCH_BYTES.
 
     vocabulary: a .json file of tokenizers or a .model file of sentencepiece, read on the driver and sent to
     the workers (its size is that of a vocabulary, whatever the data).

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .tokens import Words, gathered
 
 MAX_TOXIC, MAX_CLEAN = 1500, 2500
+#: Windows of a labelled text that the CRF learns from at most: around toxic tokens, and others.
+MAX_TOXIC_WINDOWS, MAX_WINDOWS = 8, 8
 SLOTS = 1 << 18
 HALF = 10
 BLOCK = 64
@@ -157,7 +159,7 @@ class Crf:
                 self.first -= rate * 0.2 * gf / np.sqrt(seen_f)
 
     def tag(self, texts: list[str | None], spans: bool = False) -> tuple[np.ndarray, list]:
-        """Per text: words, sum and maximum of the marginals; and, if asked for, (start, end) in code points of tokens of 0.5 or more."""
+        """Per text: words, sum and maximum of the marginals; and, if asked for, (start, end) in code points of runs of tokens of 0.5 or more."""
         held: list[list[np.ndarray]] = [[] for _ in texts]
         places: list[list[np.ndarray]] = [[] for _ in texts]
         passed = [0] * len(texts)
@@ -187,7 +189,10 @@ class Crf:
         if spans:
             for i, b in zip(np.flatnonzero(full), np.cumsum(sizes[full]) - sizes[full], strict=True):
                 where = np.concatenate(places[i])
-                found[i] = where[p[b : b + sizes[i]] >= 0.5].tolist()
+                toxic = np.flatnonzero(p[b : b + sizes[i]] >= 0.5)
+                if len(toxic):  # neighbours make one span
+                    heads = np.concatenate([[True], np.diff(toxic) > 1])
+                    found[i] = np.stack([where[toxic[heads], 0], where[toxic[np.append(np.flatnonzero(heads)[1:] - 1, len(toxic) - 1)], 1]], 1).tolist()
         return out, found
 
     def score(self, sums: np.ndarray) -> np.ndarray:
@@ -216,8 +221,12 @@ def label_tokens(slots: list[np.ndarray], toxic: np.ndarray, least: int = 3, sha
     return [telling[s[:, :4]].any(1).astype(np.int8) if y else np.zeros(len(s), np.int8) for s, y in zip(slots, toxic, strict=True)]
 
 
-def train(texts: list[str | None], toxic: np.ndarray, seed: int = 10) -> Crf:
-    """The CRF from two thirds of the texts, the scale of scores from the others. Without toxic texts all scores are low."""
+def train(texts: list[str | None], toxic: np.ndarray, seed: int = 10, per_toxic: int = MAX_TOXIC_WINDOWS, per_text: int = MAX_WINDOWS) -> Crf:
+    """The CRF from two thirds of the texts, the scale of scores from the others. Without toxic texts all scores are low.
+
+    Of each text at most `per_toxic` windows around toxic tokens and `per_text` others (drawn at random) are learnt
+    from; a text of fewer words than a window is repeated until it fills one. Texts without a word teach nothing.
+    """
     model = Crf()
     toxic = np.asarray(toxic, np.int8)
     slots = []
@@ -230,9 +239,13 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 10) -> Crf:
     windows, states = [], []
     width = 2 * HALF + 1
     for s, y in zip(chosen, label_tokens(chosen, toxic[fitted]), strict=True):
-        if len(s) < width:
+        if not len(s):
             continue
-        centres = np.concatenate([np.flatnonzero(y)[:8], rng.integers(0, len(s), 4 if y.any() else 10)])
+        if len(s) < width:
+            s, y = np.resize(s, (width, s.shape[1])), np.resize(y, width)
+        hits = np.flatnonzero(y)
+        hits = rng.permutation(hits)[:per_toxic] if len(hits) > per_toxic else hits
+        centres = np.concatenate([hits, rng.integers(0, len(s), per_text)])
         begin = np.clip(centres - HALF, 0, len(s) - width)
         at = begin[:, None] + np.arange(width)
         windows.append(s[at])
@@ -271,7 +284,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text", spans: bool = True) -> DataFrame:
-    """One row a document: key, score, n_words, expected (sum of marginals), spans (start, end in code points of toxic tokens).
+    """One row a document: key, score, n_words, expected (sum of marginals), spans (start, end in code points of runs of toxic tokens).
 
     Null texts count as empty: no words, no spans, and the score of a text without evidence.
     """

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -134,6 +135,11 @@ def test_jaccard_join_of_families_over_many_slices(spark, monkeypatch):
 
 def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.join(empty).count() == 0
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n")]
+    df = empty.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_join.join(df).collect())
+    assert got == [("1", 3, 1), ("1", 3, 1), ("2", 3, 1), ("3", 3, 3), ("None", 3, None)]
+    assert sorted(str(r.doc_id) for r in jaccard_join.keep_one(df).collect()) == ["1", "3", "None"]
 
 
 def test_chunks_survive_shifts_and_long_texts():
@@ -235,6 +241,33 @@ def test_sharding(spark):
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
 
 
+def test_sharding_of_repeated_rows_and_null_keys(spark, empty):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "a"), (None, "a"), (None, None), (2, None), (2, None)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=3).collect()
+    assert sorted((str(r.doc_id), r["size"]) for r in out) == sorted((str(i), len(t or "") + 8) for i, t in rows)
+    counts = [sum(r.shard == s for r in out) for s in range(3)]
+    assert max(counts) - min(counts) <= 1
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in range(3) for k in range(counts[s])]
+    assert sharding.shard(empty, shards=3).count() == 0
+
+
+def test_filter_on_verdicts_costs_no_more_than_the_verdicts(spark):
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def seconds(df):
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            df.write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - began)
+        return best
+
+    judged = quality.judge(docs)
+    assert seconds(judged.filter("kept")) < 2.5 * seconds(judged) + 0.5
+
+
 def test_quality_counts_against_brute_force(docs, empty):
     def counts(t):
         t = t or ""
@@ -286,13 +319,20 @@ def test_bpe_is_what_the_library_gives(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_token_counts_are_the_library_s(spark, docs, name):
-    library = Tokenizer.from_file(public_tokenizers.path(name))
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_are_the_library_s(spark, docs, empty, name):
+    if name.endswith(".model"):
+        pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+        count = lambda t: len(pieces.encode(t))
+    else:
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        count = lambda t: len(library.encode(t, add_special_tokens=False))
+    assert token_count.token_counts(empty, public_tokenizers.path(name)).count() == 0
+    assert [len(b) for b in token_count.by_bytes(["é" * 3, "é" * 3, "a"], 12)] == [2, 1]
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(901, "a <|endoftext|> b<|endoftext|>"), (902, "word " * 3000)], "doc_id long, text string"))
     texts = {r.doc_id: r.text or "" for r in more.collect()}
     for r in token_count.token_counts(more, public_tokenizers.path(name)).collect():
-        n = len(library.encode(texts[r.doc_id], add_special_tokens=False))
+        n = count(texts[r.doc_id])
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len(texts[r.doc_id].encode()), n > 512)
 
 
@@ -325,6 +365,11 @@ def test_mixing(spark, docs, empty):
     assert sorted(mixing.mix(docs.repartition(7)).collect(), key=key) == sorted(plan, key=key)
     words = sum(len(WORD.findall(r.text or "")) for r in mixing.sample(docs).collect())
     assert words == sum(taken.values())
+    odd = docs.withColumn("doc_id", F.expr("case when doc_id % 3 > 0 then doc_id % 5 end"))  # repeated and null keys
+    plan = mixing.mix(odd).collect()
+    assert len(plan) == docs.count() and all(0 <= r.taken <= 3 * r["size"] for r in plan)
+    assert sum(len(WORD.findall(r.text or "")) for r in mixing.sample(odd).collect()) == sum(r.taken for r in plan) == sum(taken.values())
+    assert mixing.sample(empty).count() == 0
     assert mixing.mix(empty).count() == 0
 
 
@@ -360,7 +405,14 @@ def test_crf_marginals_and_training():
     sums, spans = model.tag(texts, spans=True)
     score = model.score(sums)
     assert ((score[:240] >= 0.5) == y).mean() > 0.95 and (score[240:] < 0.5).all()
-    assert all(texts[i][a:b] in bad for i in range(240) for a, b in spans[i])
+    assert all(w in bad for i in range(240) for a, b in spans[i] for w in texts[i][a:b].split(" "))
+    assert any(len(texts[i][a:b].split(" ")) > 1 for i in range(240) for a, b in spans[i])
+    short = toxicity.train([" ".join(t.split(" ")[:9]) for t in texts[:240]], y)  # texts shorter than a window teach too
+    assert np.abs(short.weights).sum() > 0
+    again = model.tag(texts[::-1])[0][::-1]
+    for k in range(0, 242, 7):  # the score of a text: forward-backward over it alone, whatever is in its batch
+        sums_alone = model.tag([texts[k]])[0]
+        assert sums_alone[0] == pytest.approx(sums[k]) and again[k] == pytest.approx(sums[k])
 
 
 def test_toxicity_without_labels(spark, docs):
