@@ -9,21 +9,42 @@ import unicodedata
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
+def _scaled(rank: str, places: int) -> tuple[int, bool]:
+    """The rank as a fraction, in units of the last of so many digits, rounded down; and whether that is exact."""
+    units = 0
+    for digit in rank[:places].ljust(places, DIGITS[0]):
+        units = units * len(DIGITS) + DIGITS.index(digit)
+    return units, not rank[places:].strip(DIGITS[0])
+
+
 def rank_between(low: str | None, high: str | None) -> str:
-    """A rank that sorts strictly between two ranks; None is an open end. It never ends in the lowest digit."""
+    """The middle of the shortest ranks that sort strictly between two ranks; None is an open end.
+
+    Ranks are fractions of 1 in base 62. With the fewest digits that leave a fraction between the two, none of
+    those ends in the lowest digit, as it would be there with a digit less.
+    """
     if low is not None and high is not None and low >= high:
         raise ValueError("the lower rank must sort first")
-    made = ""
-    place = 0
-    bounded = high is not None
+    places = 0
     while True:
-        below = DIGITS.index(low[place]) if low is not None and place < len(low) else -1
-        above = DIGITS.index(high[place]) if bounded and place < len(high) else len(DIGITS)
-        middle = (below + above) // 2
-        if above - below > 1 and middle > 0:
-            return made + DIGITS[middle]
-        made += DIGITS[max(below, 0)]
-        place += 1
+        places += 1
+        first = 1 + (_scaled(low, places)[0] if low is not None else 0)
+        end = len(DIGITS) ** places
+        if high is not None:
+            units, exact = _scaled(high, places)
+            end = units if exact else units + 1
+        if first < end:
+            middle, digits = (first + end - 1) // 2, []
+            for _ in range(places):
+                middle, digit = divmod(middle, len(DIGITS))
+                digits.append(DIGITS[digit])
+            return "".join(reversed(digits))
+
+
+def move(ranks: list[str], at: int, to: int) -> str:
+    """The new rank of item `at` of a list in order of rank, so that it stands at place `to`; no other item changes."""
+    rest = ranks[:at] + ranks[at + 1 :]
+    return rank_between(rest[to - 1] if to else None, rest[to] if to < len(rest) else None)
 
 
 def slug(text: str | None, fallback: str = "untitled", longest: int = 60) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lectern.plans import listing
+from lectern.plans import folds, listing
 from lectern.sources.views import (
     AUTO_SCORE, CANDIDATE_SCORE, DAY_MS, DRIFT_MS, FUTURE_SKEW_MS, GAP_MIN_MS, NARRATION_CHARS_PER_SEC, NOW_MS, REWIND_CAP_MS, SWITCH_CONFIDENCE, SWITCH_COVERAGE, JOB_NOW_MS,
     Dialect, norm_title, round3, similarity,
@@ -288,4 +288,4 @@ def auto_pairs(d: Dialect) -> str:
 
 
 QUERIES["agg_auto_pairs"] = auto_pairs
-QUERIES |= listing.queries(probes, gaps, summary, best)
+QUERIES |= folds.QUERIES | listing.queries(probes, gaps, summary, best)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lectern.operators import asof, ngrams, progress
 from lectern.sources.views import GAP_MIN_MS, NOW_MS, Duck, Spark, with_views
 
-from . import catalog
+from . import catalog, folds
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -57,17 +57,12 @@ def join_26_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stm_01_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _view(spark, sf_dir, "select user_id, book_id, event_id, session, seq, intent, at_ms, cast(null as bigint) as base_revision, pct from v_events")
-    return progress.reconcile(events, NOW_MS).select("user_id", "book_id", "event_id", "outcome", "revision")
-
-
-def stm_02_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stm_01_reconcile(spark, sf_dir)
-    return out.groupBy("user_id", "book_id").agg(F.max("revision").alias("revision"), F.count_if(F.col("outcome") != "apply").alias("refused"))
+    events = _view(spark, sf_dir, f"select *, cast(null as bigint) as base_revision from {folds.LOG} l")
+    return progress.reconcile(events, NOW_MS).select("user_id", "book_id", "event_id", "outcome")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (join_13_operator, join_15_operator, join_22_unique_ngrams, join_26_operator, agg_12_match_stats, win_05_longest_chain, win_08_monotone, stm_01_reconcile, stm_02_state)
+    found = (join_13_operator, join_15_operator, join_22_unique_ngrams, join_26_operator, agg_12_match_stats, win_05_longest_chain, win_08_monotone, stm_01_reconcile)
     return {f.__name__: f for f in found}
 
 
@@ -81,6 +76,8 @@ def oracle_sql() -> dict[str, str]:
         "join_13_operator": with_views(d, f"select p.conv_id, p.t, s.ord, s.end_ms from ({catalog.probes(d)}) p asof left join ({segments}) s on p.conv_id = s.conv_id and p.t >= s.start_ms"),
         "join_15_operator": with_views(d, catalog.QUERIES["join_15_gap_containment"](d)),
         "join_26_operator": with_views(d, catalog.QUERIES["join_26_overlap"](d)),
+        "stm_01_reconcile": with_views(d, folds.outcomes()),
+        "win_08_monotone": with_views(d, folds.monotone(d)),
         "join_22_unique_ngrams": matches,
         "agg_12_match_stats": f"select left_key, right_key, count(*) as n, min(left_pos) as first_pos, max(left_pos) as last_pos from ({matches}) m group by left_key, right_key",
     }

@@ -77,6 +77,18 @@ class Spark:
     def kept(self, array: str, condition: str) -> str:
         return f"filter({array}, x -> {condition})"
 
+    def record(self, **fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def ordered(self, value: str, *by: str) -> str:
+        """The values of a group as an array in this order."""
+        key = ", ".join(f"'o{i}', {x}" for i, x in enumerate(by))
+        return f"transform(array_sort(collect_list(named_struct({key}, 'v', {value}))), p -> p.v)"
+
+    def fold(self, array: str, start: str, step: str) -> str:
+        """`step` over a (what has come so far) and x (the next item)."""
+        return f"aggregate({array}, {start}, (a, x) -> {step})"
+
     def mapped(self, array: str, value: str) -> str:
         return f"transform({array}, x -> {value})"
 
@@ -166,6 +178,15 @@ class Duck:
     def kept(self, array: str, condition: str) -> str:
         return f"list_filter({array}, lambda x: {condition})"
 
+    def record(self, **fields: str) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def ordered(self, value: str, *by: str) -> str:
+        return f"list({value} order by {', '.join(by)})"
+
+    def fold(self, array: str, start: str, step: str) -> str:
+        return f"list_reduce({array}, lambda a, x: {step}, {start})"
+
     def mapped(self, array: str, value: str) -> str:
         return f"list_transform({array}, lambda x: {value})"
 
@@ -288,4 +309,6 @@ def with_views(d: Dialect, body: str) -> str:
     if not found:
         return body
     head = ", ".join(f"{n} as ({text[n]})" for n in found)
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     return f"with {head}, {body[5:]}" if body.lower().startswith("with ") else f"with {head} {body}"

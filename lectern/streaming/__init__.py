@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.operators.progress import OUT, State, fold_rows
-
-STATE = "revision long, claim_ms long, session long, seq long, intent string, finished boolean, pct double"
+from lectern.operators.progress import OUT, Reader, State, fold_rows
 
 
 def progress_stream(events: DataFrame, now_ms: int) -> DataFrame:
-    """A stream of progress events -> the outcome of each, with state kept per reader and book."""
+    """A stream of progress events -> the outcome of each; a reader's books and event ids are kept as state, ids for 30 days."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        before = State(*held.get) if held.exists else None
-        out, after = fold_rows(pd.concat(list(batches)), now_ms, before)
-        held.update((after.revision, after.claim_ms, after.session, after.seq, after.intent, after.finished, after.pct))
+        reader = Reader()
+        if held.exists:
+            books, seen = json.loads(held.get[0])
+            reader = Reader({int(b): State(*s) for b, s in books.items()}, {int(e): t for e, t in seen.items()})
+        out = fold_rows(pd.concat(list(batches)), now_ms, reader)
+        reader.forget(now_ms)
+        held.update((json.dumps([{b: astuple(s) for b, s in reader.books.items()}, reader.seen], default=lambda x: x.item()),))
         yield out
 
-    return events.groupBy("user_id", "book_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, OUT, "reader string", "append", GroupStateTimeout.NoTimeout)
 
 
 def deduplicated(events: DataFrame, late: str = "30 days") -> DataFrame:
