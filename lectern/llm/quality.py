@@ -8,6 +8,8 @@ rejected. Documents without a word are rejected. Null texts count as empty.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,11 @@ def has_word(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(SPACES))) > 0
 
 
-def line_ok(line: Column) -> Column:
-    """The verdict on one line that has a word; a phrase of boilerplate only counts against lines of 40 words at most."""
+def line_ok(line: Column, phrases: Column | None = None) -> Column:
+    """The verdict on one line that has a word; a phrase of boilerplate only counts against lines of 40 words at most.
+
+    phrases: whether the line's text holds such a phrase anywhere, where that is known.
+    """
 
     def core_ok(core: Column) -> Column:
         n_chars = F.length(core)
@@ -35,6 +40,8 @@ def line_ok(line: Column) -> Column:
         bangs = n_chars - F.length(F.regexp_replace(core, r"[!?]{2,}", ""))
         stutter = core.rlike(r"(?<![^\x20\x09])([^\x20\x09-\x0D]+)(?:[\x20\x09]\1){3,}(?![^\x20\x09])")
         furniture = core.rlike("(?i)" + "|".join(BOILERPLATE)) & (F.size(F.split(core, SPACE_RUN)) <= 40)
+        if phrases is not None:
+            furniture = phrases & furniture
         return closes & (noise * 20 <= n_chars) & (bangs * 20 <= n_chars) & (shouted * 3 <= n_chars) & ~furniture & ~stutter
 
     return let(F.btrim(line, F.lit(SPACES)), core_ok)
@@ -92,7 +99,7 @@ def judge(df: DataFrame, text: str = "text", max_lost: float = 0.3, min_words: i
             clean = F.array_join(good, "\n")
             return F.struct(
                 F.size(w).cast("long").alias("n_words"),
-                bare(t).alias("word_chars"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                 (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 repeat_words(w).alias("n_repeat_words"),
@@ -101,12 +108,17 @@ def judge(df: DataFrame, text: str = "text", max_lost: float = 0.3, min_words: i
                 clean.alias("clean_text"),
             )
 
-        return let(F.filter(every, has_word), lambda lines: let(F.filter(every, lambda x: ~has_word(x) | line_ok(x)), lambda good: verdict(lines, good)))
+        lower = F.lower(t)
+        some = reduce(lambda a, b: a | b, (lower.contains(p) for p in BOILERPLATE))
+        good = let(some, lambda phrases: F.filter(every, lambda x: ~has_word(x) | line_ok(x, phrases)))
+        return let(F.filter(every, has_word), lambda lines: let(good, lambda g: verdict(lines, g)))
 
     t = F.coalesce(F.col(text), F.lit(""))
     counted = let(t, lambda x: let(words(x), lambda w: let(F.split(x, "\n"), lambda every: of_lines(x, w, every))))
     rows = df.select(*keep, F.inline(F.array(counted)))
-    clean_words, lost = F.size(words(F.col("clean_text"))), F.when(F.col("word_chars") > 0, 1 - bare(F.col("clean_text")) / F.col("word_chars")).otherwise(F.lit(1.0))
+    whole = F.col("n_bad_lines") == 0  # nothing went: nothing to count again
+    clean_words = F.when(whole, F.col("n_words")).otherwise(F.size(words(F.col("clean_text"))))
+    lost = F.when(F.col("word_chars") == 0, F.lit(1.0)).when(whole, F.lit(0.0)).otherwise(1 - bare(F.col("clean_text")) / F.col("word_chars"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_repeat) * F.col("n_words"))
     rows = rows.withColumns({"base_failed": failed, "lost": lost})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= max_lost) & (clean_words >= min_words))
