@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html_extract, jaccard_join, mixing, quality, sharding, simhash, substring_dedup, token_count, toxicity
+from .scratch import Scratch
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.compare_edited(_documents(spark, sf_dir))
+    prints = Scratch(spark, "prints").table(simhash.compare_edited(_documents(spark, sf_dir)))
+    return simhash.with_near(prints, F.col("doc_id") % 100 == 0)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,20 @@ each, for at most 16,384 terms), then two to a long, so a text of any length is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .words import words
 
 BITS = 128
 CHUNK = 16_384
 LANES4, LANES2, LANE = 0x0001000100010001, 0x0000FFFF0000FFFF, 0xFFFFFFFF
-RADIUS = 12
+#: Bits that near fingerprints may differ in, and whole blocks that they then share.
+RADIUS, AGREE = 3, 2
 
 
 def terms(text: Column) -> Column:
@@ -76,52 +81,91 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.cos(F.lit(3.141592653589793) * distance(a, b) / BITS))
 
 
-def near(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """All pairs of different fingerprints at most `radius` bits apart: one row (a, b, distance) by fingerprint, a < b.
+def near(prints: DataFrame, asked: Column | None = None, radius: int = RADIUS, agree: int = AGREE) -> DataFrame:
+    """(a, b, distance, members): for each fingerprint a of a row that is `asked` (null: all) the others at most `radius` bits away.
+
+    Permuted block tables: the 32 digits are cut into radius + agree blocks, and two such fingerprints agree in
+    `agree` whole blocks at least. Each choice of so many blocks is a table, keyed by them together (51 of 128 bits
+    for radius 3 and two blocks of five), so that only near fingerprints meet. Equal fingerprints are one class,
+    `members` the rows of b's: copies are never listed as pairs. Rows without a fingerprint are left out.
+    """
+    asks = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    classes = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("members"), F.max(asks).alias("asked"))
+    edges = [round(i * BITS / 4 / (radius + agree)) for i in range(radius + agree + 1)]
+    cut = [F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i]) for i in range(radius + agree)]
+    tables = F.array(*[F.concat_ws(":", F.lit(str(t)), *[cut[i] for i in chosen]) for t, chosen in enumerate(combinations(range(radius + agree), agree))])
+    table = classes.select("fingerprint", "members", "asked", F.explode(tables).alias("block"))
+    a = table.filter("asked").select(F.col("fingerprint").alias("a"), "block")
+    b = table.select(F.col("fingerprint").alias("b"), F.col("block").alias("__block"), "members")
+    pairs = a.join(b, F.col("block") == F.col("__block")).filter("a <> b").withColumn("distance", distance(F.col("a"), F.col("b"))).filter(F.col("distance") <= radius)
+    return pairs.select("a", "b", "distance", "members").distinct()
+
+
+def with_near(prints: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """prints with n_near: for rows that are `asked`, the rows of other fingerprints within the radius; null for the others.
+
+    prints is read several times: pass a written table.
+    """
+    found = near(prints, asked, radius).groupBy("a").agg(F.sum("members").cast("long").alias("n_near"))
+    asks = F.coalesce(asked, F.lit(False))
+    with_count = prints.filter(asks).join(found, F.col("fingerprint") == F.col("a"), "left").select(*prints.columns, F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
+    return with_count.unionAll(prints.filter(~asks).withColumn("n_near", F.lit(None).cast("long")))
+
+
+def _ranges(ids: DataFrame, low: int, high: int, n: int, per: int) -> Callable[[DataFrame], DataFrame]:
+    """How to put rows by `__ord` into ranges (`bucket`) of about `per` rows, however unevenly the ids lie.
 
-    Permuted block tables: with radius + 1 blocks of bits two such fingerprints agree in a whole block, so
-    each table is the fingerprints keyed by one block. Equal fingerprints are one class, listed once; `members`
-    gives the documents of each.
+    Ranges of equal width first; those with more than 8 * per rows are cut again between their own ends.
     """
-    hexes = F.split("fingerprint", "")
-    bits = F.array_join(F.transform(F.filter(hexes, lambda x: x != ""), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
-    one = prints.select("fingerprint").distinct().withColumn("__bits", bits)
-    edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    blocks = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("__bits", edges[i] + 1, edges[i + 1] - edges[i])) for i in range(radius + 1)])
-    table = one.select("fingerprint", F.explode(blocks).alias("block"))
-    a, b = table.select(F.col("fingerprint").alias("a"), "block"), table.select(F.col("fingerprint").alias("b"), "block")
-    pairs = a.join(b, "block").filter("a < b").withColumn("distance", distance(F.col("a"), F.col("b"))).filter(F.col("distance") <= radius)
-    return pairs.select("a", "b", "distance").distinct()
+    scratch, cuts = Scratch(ids.sparkSession, "ranges"), []
+    width = max(1, (high - low + 1) * per // max(1, n))
+
+    def deal(df: DataFrame) -> DataFrame:
+        df = df.withColumn("bucket", F.expr(f"cast((__ord - ({low}L)) div {width}L as string)"))
+        for i, cut in enumerate(cuts):  # at most n / (8 * per) rows each: half the root of the rows
+            at = F.concat_ws(".", "bucket", F.expr(f"cast((__ord - __lo{i}) div __width{i} as string)"))
+            df = df.join(F.broadcast(cut), F.col("bucket") == F.col(f"__of{i}"), "left").withColumn("bucket", F.when(F.col(f"__of{i}").isNull(), F.col("bucket")).otherwise(at))
+            df = df.drop(f"__of{i}", f"__lo{i}", f"__width{i}")
+        return df
+
+    for i in range(8):
+        heavy = deal(ids).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("__ord").alias("lo"), F.max("__ord").alias("hi")).filter((F.col("n") > 8 * per) & (F.col("lo") < F.col("hi")))
+        step = F.greatest(F.lit(1).cast("long"), F.floor((F.col("hi").cast("double") - F.col("lo") + 1) * per / F.col("n")))
+        heavy = scratch.table(heavy.select(F.col("bucket").alias(f"__of{i}"), F.col("lo").alias(f"__lo{i}"), step.alias(f"__width{i}")))
+        if not heavy.limit(1).count():
+            scratch.drop(heavy)
+            break
+        cuts.append(heavy)
+    return deal
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(bucket, rn, key, text, extra, next_text): next by descending key, after the last the first.
 
-    Keys are dealt to equal ranges of about sqrt(rows) / 4 rows, so both a range and the table of ranges stay
-    small. The row after a range's last one comes in as an `extra` row at its end, so one shuffle by range
-    is enough. Rows repeated as they are follow each other. Rows without a key are left out.
+    Keys are dealt to ranges of about sqrt(rows) / 4 rows, so both a range and the table of ranges stay small.
+    The row after a range's last one comes in as an `extra` row at its end, so one shuffle by range is enough.
+    Rows repeated as they are follow each other; rows without a key come after all others.
     """
-    df = df.filter(F.col(key).isNotNull())
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    lo, hi = (lo or 0) - 1, hi or 0
     per = max(64, int(n**0.5) // 4)
-    width = max(1, ((hi or 0) - (lo or 0) + 1) * per // max(1, n))
-    bucket = F.expr(f"(`{key}` - {lo or 0}L) div {width}L")
-    rows = df.select(bucket.alias("bucket"), F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    own = df.select(F.coalesce(F.col(key), F.lit(lo)).cast("long").alias("__ord"), F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))
+    deal = _ranges(own.select("__ord"), lo, hi, n, per)
     every = Window.partitionBy(F.lit(0))
-    ends = df.groupBy(bucket.alias("bucket")).agg(F.max(key).alias("top"))
-    ends = ends.select("bucket", F.coalesce(F.lead("top").over(every.orderBy(F.desc("bucket"))), F.max("top").over(every)).alias("after"))
-    # at most 4 sqrt(rows) + 1 ranges of 16 bytes: 7 MB for 10 billion rows
-    after = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(ends), F.col(key) == F.col("after"))
-    both = rows.withColumn("extra", F.lit(False)).unionByName(after.select("bucket", key, text, F.lit(True).alias("extra")))
-    w = Window.partitionBy("bucket").orderBy("extra", F.desc(key), F.desc(text))
-    return both.select("*", F.row_number().over(w).alias("rn"), F.lead(text).over(w).alias("next_text"))
+    ends = deal(own.select("__ord")).groupBy("bucket").agg(F.max("__ord").alias("top"))
+    ends = ends.select("bucket", F.coalesce(F.lead("top").over(every.orderBy(F.desc("top"))), F.max("top").over(every)).alias("after"))
+    # at most 4 sqrt(rows) + 1 ranges of some 30 bytes: 12 MB for 10 billion rows
+    after = own.join(F.broadcast(ends), F.col("__ord") == F.col("after"))
+    both = deal(own).select("bucket", "__ord", key, text, F.lit(False).alias("extra")).unionByName(after.select("bucket", "__ord", key, text, F.lit(True).alias("extra")))
+    w = Window.partitionBy("bucket").orderBy("extra", F.desc("__ord"), F.desc(text))
+    return both.select("bucket", key, text, "extra", F.row_number().over(w).alias("rn"), F.lead(text).over(w).alias("next_text"))
 
 
 def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last third of code points replaced by the first as many of the next document.
-    Null texts count as empty.
+    Null texts count as empty; rows without a key come last in the order, repeated rows follow each other.
     """
     t, n = F.col(text), F.length(F.col(text))
     third = F.expr(f"cast(length(`{text}`) div 3 as int)")

@@ -211,16 +211,56 @@ def test_simhash_and_edited_texts(spark, docs, empty):
     assert got[20].fingerprint == got[60].fingerprint
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
     assert simhash.compare_edited(empty).count() == 0
+    far = [(i, f"text number {i} of many") for i in (1, 2, 3, 10**12, 10**12 + 5)] + [(10**6 + i, f"t {i}") for i in range(700)]
+    odd = far + [(2, "text number 2 of many"), (None, "no key"), (None, None)]  # ids far apart, a repeated row, rows without a key
+    order = sorted(odd, key=lambda r: (0 if r[0] is None else r[0], r[1] or ""), reverse=True)
+    got = sorted((str(r.doc_id), r.edited_sha256) for r in simhash.compare_edited(spark.createDataFrame(odd, "doc_id long, text string")).collect())
+    want = []
+    for k, (i, t) in enumerate(order):
+        t, follows = t or "", order[(k + 1) % len(order)][1] or ""
+        want.append((str(i), hashlib.sha256((t[: len(t) - len(t) // 3] + follows[: len(t) // 3]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_fingerprint_bits_against_brute_force(spark):
+    """Votes counted one by one; only the hash of a term is taken from the engine."""
+    random.seed(12)
+    texts = [" ".join(random.choice(VOCAB) + random.choice(["", "longer"]) for _ in range(n)) for n in (1, 2, 3, 17, 200)] + ["", None, "x " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in simhash.fingerprints(df, ["doc_id"], "text").collect()}
+    pairs = sorted({(a, b) for t in texts for w in [WORD.findall(t or "")] for a, b in zip(w, [*w[1:], None])}, key=str)
+    hashed = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).withColumn("h1", F.xxhash64("h", F.lit(1))).collect()
+    known = {(r.a, r.b): (r.h % 2**64, r.h1 % 2**64) for r in hashed}
+    for i, t in enumerate(texts):
+        votes, total = [0] * 128, 0
+        for a, b in zip(w := WORD.findall(t or ""), [*w[1:], None]):
+            weight = 2 if len(a) + len(b or "") >= 8 else 1
+            total += weight
+            for half, h in enumerate(known[a, b]):
+                for bit in range(64):
+                    votes[64 * half + bit] += weight * (h >> bit & 1)
+        words = [sum(1 << bit for bit in range(64) if 2 * votes[64 * half + bit] > total) for half in range(2)]
+        assert got[i] == f"{words[0]:016x}{words[1]:016x}"
+
+
+def test_near_fingerprints_against_all_pairs(spark):
     random.seed(8)
-    prints = [f"{random.getrandbits(128):032x}" for _ in range(30)]
-    for p in prints[:15]:
+    prints = [f"{random.getrandbits(128):032x}" for _ in range(40)]
+    for p in prints[:20]:
         x = int(p, 16)
-        for b in random.sample(range(128), random.choice([3, 8, 12, 13])):
+        for b in random.sample(range(128), random.choice([1, 2, 3, 4, 5])):
             x ^= 1 << b
         prints.append(f"{x:032x}")
-    pairs = simhash.near(spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string"), radius=12)
-    want = {(a, b) for a in prints for b in prints if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= 12}
-    assert {(r.a, r.b) for r in pairs.collect()} == want
+    prints += [prints[0]] * 3  # copies
+    df = spark.createDataFrame([*enumerate(prints), (None, None)], "doc_id long, fingerprint string")
+    gap = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    got = {(r.a, r.b): (r.distance, r.members) for r in simhash.near(df, radius=3).collect()}
+    assert got == {(a, b): (gap(a, b), prints.count(b)) for a in prints for b in prints if a != b and gap(a, b) <= 3}
+    wide = {(r.a, r.b) for r in simhash.near(df, radius=5, agree=1).collect()}
+    assert wide == {(a, b) for a in prints for b in prints if a != b and gap(a, b) <= 5}
+    rows = {r.doc_id: r.n_near for r in simhash.with_near(df, F.col("doc_id") % 10 == 0).collect()}
+    assert len(rows) == len(prints) + 1
+    assert all(rows[i] == (sum(p != q and gap(p, q) <= 3 for q in prints) if i % 10 == 0 else None) for i, p in enumerate(prints))
 
 
 def test_sharding(spark):
