@@ -241,7 +241,8 @@ QUERIES: dict[str, Text] = {
     "str_01_fold": lambda d: f"select p_partkey, lower({d.sub('trim(p_type)', '[ ]+', ' ')}) as fold from {d.table('part')}",
     "str_05_titles": lambda d: f"select id, {norm_title(d, 'title')} as norm from v_books",
     "str_06_similarity": lambda d: f"select e.id, {round3(similarity('lower(e.title)', 'lower(coalesce(e.series, \'\'))'))} as sim from v_books e",
-    "str_07_year": lambda d: f"select page_id, year from (select page_id, cast(nullif({d.found('html', '[0-9][0-9][0-9][0-9]')}, '') as bigint) as year from {d.table('pages')}) y where year between 1000 and 2026",
+    "str_07_year": lambda d: f"""select id, year from (select id, cast(nullif({d.found('v', '[0-9][0-9][0-9][0-9]')}, '') as bigint) as year from (select o_orderkey as id, case o_orderkey % 4 when 0 then 'n.d.' when 1 then '(c) ' || substring(cast(o_orderdate as string), 1, 10)
+        when 2 then cast(9000 + o_orderkey % 900 as string) || ' copies, ' || cast(o_orderdate as string) else 'no. 12, ' || substring(cast(o_orderdate as string), 1, 4) end as v from {d.table('orders')}) t) y where year between 1000 and 2026""",
     "str_08_identifiers": lambda d: f"""select id, case when {d.hit('v', '^[a-z]+:')} then {d.found('v', '^([a-z]+):', 1)} when {d.hit(d.sub('v', '[- ]', ''), '^(97[89])?[0-9]{9}[0-9Xx]$')} then 'isbn' else 'id' end as scheme from
         (select p_partkey as id, case p_partkey % 4 when 0 then '978-0-' || cast(1000000 + p_partkey as string) || '-1-2' when 1 then 'doi:10.1/' || p_name when 2 then cast(123456789 as string) || 'X' else p_name end as v from {d.table('part')}) i""",
     "str_15_parse_facet": lambda d: "select distinct substring(x, 1, position(':' in x) - 1) as kind, substring(x, position(':' in x) + 1) as value from (select kind || ':' || value as x from v_facets) y",
