@@ -1,7 +1,9 @@
 """From raw documents to token ids, in five stages; each stage's rows are written and read again as the next one's.
 
-ORACLE_SQL is None: SQL can't express the joins by sketches, content-defined chunks or merges. tests/llm
-holds every stage against a brute-force version.
+ORACLE_SQL is None: SQL can't express the join by rarest shingles, content-defined chunks or merges. tests/llm
+holds the operators against brute force, and the stages by what has to be true of their rows. Null and empty
+texts fail the quality rules; of rows repeated with their doc_id the second stage keeps one; rows without a
+doc_id are documents of their own; an empty table stays empty with the same columns.
 """
 
 from __future__ import annotations

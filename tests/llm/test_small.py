@@ -491,3 +491,20 @@ def test_pipeline_stages(spark):
             assert all(i == c for i, (_, c) in unlinked.items())
     out = corpus_pipeline.STAGES[4][1](spark, docs, "")
     assert out.count() == docs.count() and out.agg(F.min("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_on_odd_rows_and_on_nothing(spark, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    random.seed(13)
+    say = lambda n: "".join("".join(random.choice("abcdefgh") for _ in range(6)) + " " for _ in range(n)).strip() + "."
+    good, other = say(60), say(70)
+    rows = [(1, good, "en", "a", 0), (1, good, "en", "a", 0), (2, good + " end.", "en", "a", 0), (3, other, None, None, None), (None, say(50), "en", "a", 0), (4, None, "en", "a", 0), (5, "", "en", "a", 0), (6, "too short.", "en", "b", 0)]
+    for docs, ids in ((spark.createDataFrame(rows, SCHEMA).repartition(3), ["1", "3", "None"]), (empty, [])):
+        scratch = Scratch(spark, "odd")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = scratch.table(stage(spark, docs, ""))
+            if k < 4:
+                assert docs.columns == empty.columns
+            if k == 1:
+                assert sorted(str(r.doc_id) for r in docs.collect()) == ids
+        assert (docs.count() > 0) == bool(ids)
