@@ -47,10 +47,10 @@ def move(ranks: list[str], at: int, to: int) -> str:
     return rank_between(rest[to - 1] if to else None, rest[to] if to < len(rest) else None)
 
 
-def slug(text: str | None, fallback: str = "untitled", longest: int = 60) -> str:
-    """ASCII letters and digits joined by hyphens."""
-    plain = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().lower()
-    return re.sub(r"[^a-z0-9]+", "-", plain).strip("-")[:longest].strip("-") or fallback
+def slug(text: str | None, fallback: str = "Untitled", longest: int = 60) -> str:
+    """ASCII letters and digits, joined by single spaces, for names of files."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.category(c).startswith("M"))
+    return re.sub(r"[^A-Za-z0-9]+", " ", plain).strip()[:longest].strip() or fallback
 
 
 def natural_key(text: str) -> tuple:

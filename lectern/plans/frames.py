@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import asof, ngrams, progress
+from lectern.functions.romanize import romanized
+from lectern.functions.sanitize import sanitized
+from lectern.operators import asof, ngrams, probes, progress
+from lectern.sources import portable
 from lectern.sources.views import GAP_MIN_MS, NOW_MS, Duck, Spark, with_views
 
 from . import catalog, folds
@@ -61,8 +64,61 @@ def stm_01_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.reconcile(events, NOW_MS).select("user_id", "book_id", "event_id", "outcome")
 
 
+def str_09_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as inert HTML and plain text; links to pages of the same folder count as files of the book."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumns({"chapter": F.lit("text/page.xhtml"), "known": F.array(F.lit("text/index.html"))})
+    clean = sanitized(pages, "html", "chapter", "known").select("page_id", "clean.*")
+    return clean.select("page_id", "html", "text", F.size("assets").cast("bigint").alias("assets"), F.size("anchor_ids").cast("bigint").alias("anchors"))
+
+
+def str_16_romanize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", romanized(F.col("text")).alias("r")).select("doc_id", "r.chars", F.length("r.chars").cast("bigint").alias("n_chars"))
+
+
+def str_18_source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the places of the first and last letter that is heard, and whether places never fall."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", romanized(F.col("text")).alias("r")).select("doc_id", "r.source")
+    rising = F.forall(F.arrays_zip(F.expr("slice(source, 1, greatest(size(source) - 1, 0))").alias("a"), F.expr("slice(source, 2, size(source))").alias("b")), lambda x: x["b"].isNull() | (x["a"] <= x["b"]))
+    return docs.select("doc_id", F.try_element_at("source", F.lit(1)).alias("first_place"), F.try_element_at("source", F.lit(-1)).alias("last_place"), rising.alias("rising"))
+
+
+#: What is done to each document before it is packed, by conv_id % 10, and the reason that a reader then has to give.
+DAMAGE = {1: "other-format", 2: "newer-version", 3: "text-scheme", 4: "timeline-scheme", 5: "ragged:endMs", 6: "not-json", 7: "not-gzip", 8: "no-version"}
+
+
+def src_09_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of each conversation packed as a portable file, some of them damaged, and read again: the reason of a refusal, and the segments."""
+    seg = _view(spark, sf_dir, "select * from v_segments").select("conv_id", F.struct(
+        F.concat(F.lit("s"), F.col("ord").cast("string")).alias("sentenceIds"), F.lit(0).cast("bigint").alias("spineIdx"), F.col("ord").cast("bigint").alias("sentenceOrd"), F.col("start_ms").alias("startMs"),
+        F.col("end_ms").alias("endMs"), "confidence", "source", F.col("uncertainty_ms").cast("bigint").alias("uncertaintyMs")).alias("x"))
+    books = seg.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct(F.col("x.sentenceOrd").alias("o"), "x"))).alias("s")).select("conv_id", F.transform("s", lambda y: y["x"]).alias("s"))
+    case, key = F.col("conv_id") % 10, F.substring(F.sha2(F.col("conv_id").cast("string"), 256), 1, 24)
+    scheme = lambda bad, good: F.when(case == bad, "z9:x").otherwise(f"{good}x")
+    packed = books.withColumn("json", portable.document("alignment", key, scheme(3, portable.TEXT_SCHEME), scheme(4, portable.TIME_SCHEME), F.col("s")))
+    edit = lambda old, new: F.replace(F.col("json"), F.lit(old), F.lit(new))
+    json = F.when(case == 1, edit('"format":"alignment"', '"format":"other"')).when(case == 2, edit('"formatVersion":1', '"formatVersion":2')).when(case == 5, edit('"endMs":[', '"endMs":[1,'))
+    packed = packed.withColumn("json", json.when(case == 6, F.lit("{")).when(case == 8, edit('"formatVersion":1', '"formatVersion":"1"')).otherwise(F.col("json")))
+    raw = F.when(case == 7, F.encode("json", "UTF-8")).otherwise(portable.zipped("json"))
+    read = portable.decoded(packed.select("conv_id", raw.alias("content")), "alignment")
+    last = F.aggregate("segments", F.lit(None).cast("bigint"), lambda a, x: F.greatest(a, x["endMs"]))
+    return read.select("conv_id", "reason", F.when(F.col("segments").isNotNull(), F.size("segments")).cast("bigint").alias("n"), last.alias("end_ms"))
+
+
+#: Conversations are minutes long, so probes are closer together than on books of hours.
+PROBE_PLAN = probes.Plan(window_ms=1_000, every_ms=9_000)
+
+
+def win_18_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second probes of each conversation, from its segments as anchors, after the grid has been heard."""
+    anchors = _view(spark, sf_dir, "select conv_id as key, start_ms as ms, cast(ord as bigint) * 100 + start_ms % 700 as pos from v_segments")
+    books = _view(spark, sf_dir, "select conv_id as key, max(end_ms) as audio_ms, cast(20 as bigint) as allowed from v_segments group by conv_id")
+    return probes.refine(anchors, probes.grid(books, PROBE_PLAN), books, PROBE_PLAN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (join_13_operator, join_15_operator, join_22_unique_ngrams, join_26_operator, agg_12_match_stats, win_05_longest_chain, win_08_monotone, stm_01_reconcile)
+    found += (str_09_sanitise, str_16_romanize, str_18_source_index, src_09_portable, win_18_refine)
     return {f.__name__: f for f in found}
 
 
@@ -77,6 +133,8 @@ def oracle_sql() -> dict[str, str]:
         "join_15_operator": with_views(d, catalog.QUERIES["join_15_gap_containment"](d)),
         "join_26_operator": with_views(d, catalog.QUERIES["join_26_overlap"](d)),
         "stm_01_reconcile": with_views(d, folds.outcomes()),
+        "src_09_portable": with_views(d, f"""select conv_id, reason, case when reason is null then n end as n, case when reason is null then end_ms end as end_ms from (select conv_id, count(*) as n, max(end_ms) as end_ms,
+            case conv_id % 10 {' '.join(f"when {k} then '{v}'" for k, v in DAMAGE.items())} end as reason from v_segments group by conv_id) x"""),
         "win_08_monotone": with_views(d, folds.monotone(d)),
         "join_22_unique_ngrams": matches,
         "agg_12_match_stats": f"select left_key, right_key, count(*) as n, min(left_pos) as first_pos, max(left_pos) as last_pos from ({matches}) m group by left_key, right_key",
