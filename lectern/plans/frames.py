@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.romanize import romanized
+from lectern.functions.romanize import romanized, spelt
 from lectern.functions.sanitize import sanitized
 from lectern.operators import asof, ngrams, probes, progress
-from lectern.sources import portable
+from lectern.sources import audio, portable
 from lectern.sources.views import GAP_MIN_MS, NOW_MS, Duck, Spark, with_views
 
 from . import catalog, folds
@@ -76,6 +76,38 @@ def str_16_romanize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", romanized(F.col("text")).alias("r")).select("doc_id", "r.chars", F.length("r.chars").cast("bigint").alias("n_chars"))
 
 
+def str_17_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of each document as it is read aloud in its language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", romanized(F.col("text"), F.col("lang")).alias("r")).select("doc_id", "r.chars", F.length("r.chars").cast("bigint").alias("n_chars"))
+
+
+def str_17_cardinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price of each order, in whole units up to 12,000, in English words; null above those that are spelt."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.floor("o_totalprice") % 12_000).cast("bigint").alias("n"))
+    return orders.select("id", "n", spelt(F.col("n"), F.lit("en")).alias("words"))
+
+
+def src_07_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a prober would show it, its segments as chapters, and what is read out of that; every seventh text is cut short."""
+    clock = lambda ms: F.format_string("%.3f", ms / 1000)
+    title = lambda x: F.create_map(F.when(x["ord"] % 2 == 0, F.lit("TITLE")).otherwise(F.lit("title")), F.concat(F.lit("part "), x["ord"].cast("string"))).alias("tags")
+    seg = _view(spark, sf_dir, "select conv_id, cast(ord as bigint) as ord, start_ms, end_ms from v_segments")
+    books = seg.groupBy("conv_id").agg(F.max("end_ms").alias("end_ms"), F.sort_array(F.collect_list(F.struct("ord", "start_ms", "end_ms"))).alias("x"))
+    chapters = F.transform("x", lambda x: F.struct(clock(x["start_ms"]).alias("start_time"), clock(x["end_ms"]).alias("end_time"), title(x)))
+    tags = F.create_map(F.lit("Album_Artist"), F.concat(F.lit("author "), F.col("conv_id")), F.lit("GENRE"), F.lit(" a ; b/a,, c"), F.lit("Date"), F.concat((F.col("conv_id") % 2000 + 500).cast("string"), F.lit("-01-02")))
+    stream = lambda kind, codec, pic: F.struct(F.lit(kind).alias("codec_type"), F.lit(codec).alias("codec_name"), F.struct(pic.cast("int").alias("attached_pic")).alias("disposition"))
+    shown = F.struct(
+        F.struct(clock(F.col("end_ms")).alias("duration"), tags.alias("tags")).alias("format"),
+        F.array(stream("video", "mjpeg", F.col("conv_id") % 3 == 0), stream("audio", "aac", F.lit(0))).alias("streams"), chapters.alias("chapters"),
+    )
+    json = F.to_json(shown)
+    read = audio.probed(books.select("conv_id", F.when(F.col("conv_id") % 7 == 0, F.substring(json, 2, 40)).otherwise(json).alias("json")), this_year=2024)
+    ends = F.aggregate("probe.chapters", F.lit(0).cast("bigint"), lambda a, c: a + c["end_ms"])
+    return read.select("conv_id", "probe.duration_ms", "probe.artist", F.array_join("probe.genres", "|").alias("genres"), "probe.year", "probe.codec", "probe.has_cover",
+        F.when(F.col("probe").isNotNull(), F.size("probe.chapters")).cast("bigint").alias("chapters"), ends.alias("ends"), F.try_element_at("probe.chapters", F.lit(-1))["title"].alias("last_title"))
+
+
 def str_18_source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the places of the first and last letter that is heard, and whether places never fall."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", romanized(F.col("text")).alias("r")).select("doc_id", "r.source")
@@ -105,6 +137,10 @@ def src_09_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", "reason", F.when(F.col("segments").isNotNull(), F.size("segments")).cast("bigint").alias("n"), last.alias("end_ms"))
 
 
+#: Fixed values for the SQL of str_17_cardinals, apart from the rules that the query reads.
+EN_UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+EN_TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
+
 #: Conversations are minutes long, so probes are closer together than on books of hours.
 PROBE_PLAN = probes.Plan(window_ms=1_000, every_ms=9_000)
 
@@ -118,7 +154,7 @@ def win_18_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (join_13_operator, join_15_operator, join_22_unique_ngrams, join_26_operator, agg_12_match_stats, win_05_longest_chain, win_08_monotone, stm_01_reconcile)
-    found += (str_09_sanitise, str_16_romanize, str_18_source_index, src_09_portable, win_18_refine)
+    found += (str_09_sanitise, str_16_romanize, str_18_source_index, src_09_portable, win_18_refine, src_07_probe, str_17_spoken, str_17_cardinals)
     return {f.__name__: f for f in found}
 
 
@@ -128,7 +164,16 @@ def oracle_sql() -> dict[str, str]:
         (select {key} as k, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as t from {table}) a where length(t) >= 14) b) c group by gram having count(*) = 1)"""
     matches = f"""select l.k as left_key, r.k as right_key, l.pos as left_pos, r.pos as right_pos from {once.format(key='item_id', table='benchmark')} l join {once.format(key='doc_id', table='documents')} r on l.gram = r.gram"""
     segments = "select conv_id, ord, start_ms, end_ms from v_segments"
+    below = lambda x: f"case when {x} < 20 then u[{x} + 1] when {x} % 10 = 0 then t[{x} // 10 - 1] else t[{x} // 10 - 1] || ' ' || u[{x} % 10 + 1] end"
+    units, tens = (f"string_split('{x}', ' ')" for x in (EN_UNITS, EN_TENS))
     return {
+        "str_17_cardinals": f"""select id, n, case when n > 9999 then null when n = 0 then 'zero' else concat_ws(' ', case when n >= 1000 then u[n // 1000 + 1] || ' thousand' end,
+            case when n % 1000 >= 100 then u[n % 1000 // 100 + 1] || ' hundred' end, case when n % 100 > 0 then {below("(n % 100)")} end) end as words
+            from (select o_orderkey as id, cast(floor(o_totalprice) as bigint) % 12000 as n, {units} as u, {tens} as t from orders) x""",
+        "src_07_probe": with_views(d, """select conv_id, case when ok then end_ms end as duration_ms, case when ok then 'author ' || conv_id end as artist, case when ok then 'a|b|c' end as genres,
+            case when ok and y between 1000 and 2026 then y end as year, case when ok then 'aac' end as codec, case when ok then conv_id % 3 = 0 end as has_cover, case when ok then n end as chapters,
+            case when ok then ends end as ends, case when ok then 'part ' || last end as last_title from (select conv_id, conv_id % 7 <> 0 as ok, cast(conv_id % 2000 + 500 as integer) as y,
+            max(end_ms) as end_ms, count(*) as n, cast(sum(end_ms) as bigint) as ends, max(ord) as last from v_segments group by conv_id) x"""),
         "join_13_operator": with_views(d, f"select p.conv_id, p.t, s.ord, s.end_ms from ({catalog.probes(d)}) p asof left join ({segments}) s on p.conv_id = s.conv_id and p.t >= s.start_ms"),
         "join_15_operator": with_views(d, catalog.QUERIES["join_15_gap_containment"](d)),
         "join_26_operator": with_views(d, catalog.QUERIES["join_26_overlap"](d)),

@@ -60,6 +60,34 @@ def audiobooks(files: DataFrame) -> DataFrame:
     return books.select("root", F.col("book").alias("rel"), "size", F.when(F.col("loose"), F.col("t")[0]["hash"]).otherwise(whole).alias("hash"), F.transform("t", lambda x: x["rel"]).alias("tracks"))
 
 
+def mounts(lines: DataFrame, exclude: tuple[str, ...] = (), column: str = "value") -> DataFrame:
+    """(path) of the folders mounted here, out of the lines of a kernel's mountinfo: not the root, the system's own or those under `exclude`. Whether a path is a folder isn't looked up."""
+    path = F.get(F.split(column, " "), 4)
+    under = [(F.col("path") == e) | F.col("path").startswith(f"{e}/") for e in (x.rstrip("/") for x in exclude)]
+    found = lines.select(path.alias("path")).filter("path <> '' and path <> '/'").filter(~F.col("path").rlike("^/(proc|sys|dev|run)(/|$)"))
+    for inside in under:
+        found = found.filter(~inside)
+    return found.distinct()
+
+
+def folders(files: DataFrame, mounted: DataFrame | None = None, root: str = "") -> DataFrame:
+    """(dir, files, bytes, books, mounted, mounts_inside) of each folder that holds files of scan(); paths of `mounted` are compared with root/dir. The few mounts of a machine are listed by their parents, so the join is by equality."""
+    counted = files.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count_if("supported").alias("books"))
+    if mounted is None:
+        return counted.withColumns({"mounted": F.lit(False), "mounts_inside": F.lit(0).cast("bigint")})
+    path = F.when(F.col("dir") == ".", F.lit(root.rstrip("/"))).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col("dir")))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("at"), (n == F.size(parts)).alias("itself")))
+    marks = mounted.select(F.inline(above)).groupBy("at").agg(F.bool_or("itself").alias("mounted"), F.count_if(~F.col("itself")).alias("mounts_inside"))
+    joined = counted.withColumn("at", path).join(marks, "at", "left").drop("at")
+    return joined.fillna({"mounted": False, "mounts_inside": 0})
+
+
+def check(files: DataFrame) -> DataFrame:
+    """One row: (matches, problem) of a folder's listing; problem is null where there is a book."""
+    return files.agg(F.count_if("supported").alias("matches")).withColumn("problem", F.when(F.col("matches") == 0, F.lit("readable, but no books were found")))
+
+
 def image_kind(content: Column) -> Column:
     """The media type that the first bytes tell: JPEG, PNG or null."""
     head = F.hex(F.substring(content, 1, 8))

@@ -68,3 +68,18 @@ def test_archive_names():
 def test_image_kind(spark):
     rows = spark.createDataFrame([(b"\xff\xd8\xff\xe0x",), (b"\x89PNG\r\n\x1a\nrest",), (b"GIF8",), (None,)], "c binary")
     assert [r[0] for r in rows.select(files.image_kind(F.col("c"))).collect()] == ["image/jpeg", "image/png", None, None]
+
+
+def test_mounts_folders_and_check(spark, tmp_path):
+    for rel in ("a.epub", "x/b.epub", "x/c.txt", "x/y/d.epub"):
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_bytes(b"12")
+    at = [str(tmp_path / "x"), str(tmp_path / "x/y"), "/proc/fs", "/", "/app/data", "/procedures"]
+    lines = spark.createDataFrame([(f"36 35 98:0 / {p} rw,noatime - ext3 /dev/root rw",) for p in [*at, at[0]]] + [("short",), ("",)], "value string")
+    mounted = files.mounts(lines, ("/app",))
+    assert sorted(r.path for r in mounted.collect()) == sorted([at[0], at[1], "/procedures"])
+    listed = files.scan(spark, str(tmp_path), files.EBOOKS)
+    got = {r.dir: (r.files, r.bytes, r.books, r.mounted, r.mounts_inside) for r in files.folders(listed, mounted, str(tmp_path)).collect()}
+    assert got == {".": (1, 2, 1, False, 2), "x": (2, 4, 1, True, 1), "x/y": (1, 2, 1, True, 0)}
+    assert {r.dir: r.mounted for r in files.folders(listed).collect()} == {".": False, "x": False, "x/y": False}
+    assert files.check(listed).first().problem is None and files.check(listed.limit(0)).first().matches == 0 and files.check(listed.limit(0)).first().problem
