@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import DIGITS
+from lectern.functions.columns import between, slugged
 from lectern.functions.romanize import romanized, spelt
 from lectern.functions.sanitize import sanitized
 from lectern.operators import asof, ngrams, probes, progress
@@ -76,6 +78,33 @@ def str_16_romanize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", romanized(F.col("text")).alias("r")).select("doc_id", "r.chars", F.length("r.chars").cast("bigint").alias("n_chars"))
 
 
+#: The last book of each shelf goes between its first two, of those that are shown; i and j are the places of these two in the whole shelf.
+MOVES = """select shelf_id, max_by(book_id, rank) as book_id, cast(max(case when nth = 1 then rank end) as bigint) as i, cast(max(case when nth = 2 then rank end) as bigint) as j
+    from (select *, row_number() over (partition by shelf_id order by rank) as nth from v_shelf where book_id % 10 <> 3) x group by shelf_id having count(*) > 2"""
+
+
+def _digit(n: Column) -> Column:
+    return F.substring(F.lit(DIGITS), (n % len(DIGITS)).cast("int") + 1, F.lit(1))
+
+
+def snk_12_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one row that a move writes: the moved book and its new rank; ranks are places in three digits."""
+    rank = lambda n: F.concat(_digit(F.floor(n / 3844)), _digit(F.floor(n / 62)), _digit(n))
+    return _view(spark, sf_dir, MOVES).select("shelf_id", "book_id", between(rank(F.col("i")), rank(F.col("j"))).alias("rank"))
+
+
+def str_13_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rank between two digits of each order's, next to each other or not."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 60).alias("i"), F.col("o_custkey").alias("c"))
+    low, high = F.col("i"), F.col("i") + 1 + F.col("c") % (61 - F.col("i"))
+    return orders.select("id", between(_digit(low), _digit(high)).alias("rank"))
+
+
+def str_12_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", slugged(F.col("text")).alias("slug"))
+
+
 def str_17_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters of each document as it is read aloud in its language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -154,7 +183,7 @@ def win_18_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (join_13_operator, join_15_operator, join_22_unique_ngrams, join_26_operator, agg_12_match_stats, win_05_longest_chain, win_08_monotone, stm_01_reconcile)
-    found += (str_09_sanitise, str_16_romanize, str_18_source_index, src_09_portable, win_18_refine, src_07_probe, str_17_spoken, str_17_cardinals)
+    found += (str_09_sanitise, str_16_romanize, str_18_source_index, src_09_portable, win_18_refine, src_07_probe, str_17_spoken, str_17_cardinals, snk_12_move, str_12_slug, str_13_between)
     return {f.__name__: f for f in found}
 
 
@@ -170,6 +199,10 @@ def oracle_sql() -> dict[str, str]:
         "str_17_cardinals": f"""select id, n, case when n > 9999 then null when n = 0 then 'zero' else concat_ws(' ', case when n >= 1000 then u[n // 1000 + 1] || ' thousand' end,
             case when n % 1000 >= 100 then u[n % 1000 // 100 + 1] || ' hundred' end, case when n % 100 > 0 then {below("(n % 100)")} end) end as words
             from (select o_orderkey as id, cast(floor(o_totalprice) as bigint) % 12000 as n, {units} as u, {tens} as t from orders) x""",
+        "snk_12_move": with_views(d, f"""select shelf_id, book_id, '00' || case when j - i > 1 then substring('{DIGITS}', (i + j) // 2 + 1, 1) else substring('{DIGITS}', i + 1, 1) || 'V' end as rank from ({MOVES}) m"""),
+        "str_13_between": f"""select id, case when j - i > 1 then substring('{DIGITS}', cast((i + j) // 2 + 1 as bigint), 1) else substring('{DIGITS}', cast(i + 1 as bigint), 1) || 'V' end as rank
+            from (select o_orderkey as id, o_orderkey % 60 as i, o_orderkey % 60 + 1 + o_custkey % (61 - o_orderkey % 60) as j from orders) x""",
+        "str_12_slug": """select doc_id, coalesce(nullif(trim(substring(trim(regexp_replace(strip_accents(coalesce(text, '')), '[^A-Za-z0-9]+', ' ', 'g')), 1, 60)), ''), 'Untitled') as slug from documents""",
         "src_07_probe": with_views(d, """select conv_id, case when ok then end_ms end as duration_ms, case when ok then 'author ' || conv_id end as artist, case when ok then 'a|b|c' end as genres,
             case when ok and y between 1000 and 2026 then y end as year, case when ok then 'aac' end as codec, case when ok then conv_id % 3 = 0 end as has_cover, case when ok then n end as chapters,
             case when ok then ends end as ends, case when ok then 'part ' || last end as last_title from (select conv_id, conv_id % 7 <> 0 as ok, cast(conv_id % 2000 + 500 as integer) as y,
