@@ -10,7 +10,7 @@ from .test_plans import key, plain
 
 EVENTS = f"{SMALL}/events.parquet"
 #: Of best pairs, and of listings that show them.
-BEST = ["join_12_best_pair", "agg_14_auto_shelves", "agg_26_library_stats", "flt_04_paired", "flagship_library", "flt_07_both_formats", "flt_05_in_progress", "flt_06_finished", "ord_02_author"]
+BEST = ["join_12_best_pair", "agg_14_auto_shelves", "agg_26_library_stats", "flt_04_paired", "flagship_library", "flt_07_both_formats", "flt_05_in_progress", "flt_06_finished", "ord_02_author", "prj_01_summary"]
 CROWD = "select i::bigint as p_partkey, 'red ring' as p_name, 'Brand#' || (i * 7 % 5) as p_brand, 'SMALL' as p_type, (i * 31 % 50)::int as p_size, 900.0 + i % 1000 as p_retailprice from range(3000) r(i)"
 #: Few titles, series and authors; ids below 0 and without a status, values that are missing or far out; no id twice.
 ODD = """select case when i < 40 then i - 20 when i = 40 then null else i * 3 end::bigint as p_partkey, case i % 11 when 0 then null when 1 then '' else ['red ring', 'The Red Ring', 'red  bolt', 'old bolt'][i % 4 + 1] end as p_name,
