@@ -81,7 +81,7 @@ def test_best_pairs_list_no_pairs(spark, crowd, name):
 
 
 #: Listings whose best pairs are scored once for the books of one author and size.
-LISTED = ["flt_04_paired", "flagship_library"]
+LISTED = ["flt_04_paired", "flagship_library", "flt_07_both_formats"]
 
 
 @pytest.mark.parametrize("name", LISTED)
